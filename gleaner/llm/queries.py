@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import near_dedup, pii, quality_rules
+from gleaner.llm import bpe, near_dedup, pii, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_pii": op7_pii,
+    "op8_bpe": op8_bpe,
     "op6_near_dedup": op6_near_dedup,
 }
 
