@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, near_dedup, pii, quality_rules
+from gleaner.llm import bpe, html_text, language, near_dedup, pii, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,22 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language.split_by_crc(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 3, 1)
+    model = language.train(docs.where("not held_out"))
+    return language.split_by_crc(language.identify(docs, model), 3, 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
+    "op9_html_text": op9_html_text,
+    "op10_language": op10_language,
     "op6_near_dedup": op6_near_dedup,
 }
 
