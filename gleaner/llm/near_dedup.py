@@ -19,6 +19,8 @@ T, R = 128, 4
 #: Bits of two sketches (two a coordinate) that may differ before a pair is passed over: six standard deviations above
 #: what a pair at the threshold shows (about one true pair in 10^9 is lost).
 SIGMAS = 6.0
+#: Rows of a bucket that are compared with as many others at once; a larger bucket is dealt out in blocks of this size.
+BLOCK = 256
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -102,6 +104,102 @@ def _verifier(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def _block_verifier(k: int, num: int, den: int, most: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between the rows that ask and the other rows of each group ``g`` (rows come sorted by it).
+
+    A pair is tried if its rows are of different components, its sketch bits can belong to a pair at the threshold, and no
+    earlier band of the two agrees (else that band's bucket tries it). Pairs that links found here already join are passed.
+    """
+
+    def group(t: dict) -> list[tuple[int, int]]:
+        asks = t["asks"]
+        qa, qb = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(qa) or not len(qb):
+            return []
+        ids, comp, main, bits, bands = t["id"], t["comp"], t["main"], t["bits"], t["bands"]
+        here = int(np.argmax(bands[qa[0]] == t["key"][qa[0]]))
+        at, to = [], []
+        for x in qa:
+            ok = (comp[qb] != comp[x]) & (main[qb] | (ids[x] < ids[qb]))
+            ok[ok] = np.bitwise_count(bits[qb[ok]] ^ bits[x]).sum(axis=1) <= most
+            if ok.any() and here:
+                ok[ok] = ~(bands[qb[ok], :here] == bands[x, :here]).any(axis=1)
+            y = qb[ok]
+            at.append(np.full(len(y), x))
+            to.append(y)
+        at, to = np.concatenate(at), np.concatenate(to)
+        if not len(at):
+            return []
+        used = np.unique(np.concatenate((at, to)))
+        open_ = zstandard.ZstdDecompressor()
+        texts = [open_.decompress(t["z"][i].as_py()) for i in used]
+        sets: dict[int, np.ndarray] = {}
+        n = 0
+        for _, _, data, off in S.chunks(pa.array(texts, type=pa.large_binary())):
+            s, sizes = S.shingle_sets(*S.word_hashes(data, off), k)
+            for x in np.split(s, np.cumsum(sizes)[:-1]):
+                sets[used[n]] = x
+                n += 1
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        found = []
+        for x, y in zip(at, to, strict=True):
+            p, q = sets[x], sets[y]
+            if den * min(len(p), len(q)) < num * max(len(p), len(q)):
+                continue
+            cx, cy = find(int(comp[x])), find(int(comp[y]))
+            if cx == cy:
+                continue
+            m = np.concatenate((p, q))
+            m.sort(kind="stable")
+            same = int((m[1:] == m[:-1]).sum())
+            if den * same >= num * (len(m) - same):
+                root[max(cx, cy)] = min(cx, cy)
+                found.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> list[tuple[int, int]]:
+            """Works off the whole groups that are held; the last group may go on in the next batch."""
+            table = pa.Table.from_batches(held).combine_chunks()
+            n = table.num_rows
+            g = table["g"].to_numpy()
+            cut = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [n])) if n else np.zeros(1, dtype=np.int64)
+            end = len(cut) - 1 if last else len(cut) - 2
+            held.clear()
+            if not last:
+                held.extend(table.slice(cut[-2]).to_batches())
+            cols = {c: table[c].to_numpy(zero_copy_only=False) for c in ("asks", "key", "id", "comp", "main")}
+            for c, w in (("bits", 2 * T // 64), ("bands", T // R)):
+                cols[c] = table[c].combine_chunks().flatten().to_numpy().reshape(n, w)
+            z = table["z"].combine_chunks()
+            out = []
+            for a, b in zip(cut[:end], cut[1 : end + 1], strict=True):
+                out += group({c: v[a:b] for c, v in cols.items()} | {"z": z.slice(a, b - a)})
+            return out
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                yield _pairs(flush(False))
+        if held:
+            yield _pairs(flush(True))
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Groups texts whose sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more.
 
@@ -116,8 +214,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     Classes are sketched with ``T`` coordinates that are all filled, cut in bands of ``R``. A pair at similarity 0.8 shares
     none of the 32 bands once in 2 * 10^7 pairs. In each band bucket first every class is compared with the smallest (a star,
     not all pairs). Then, where a bucket still holds several components, every class outside the bucket's largest component
-    is compared with every class of another component; the join lets pass only pairs whose sketch bits can belong to a pair
-    at the threshold. All compared pairs are confirmed on full shingle sets. There is no cap on buckets or pairs.
+    is compared with every class of another component, in blocks, inside a task that returns links only, after passing over
+    the pairs whose sketch bits can't belong to a pair at the threshold. All compared pairs are confirmed on full shingle sets. There is no cap on buckets or pairs.
     """
     scratch = Scratch(spark, "near")
     share = num / den
@@ -150,16 +248,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
 
     of = met.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     parts = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    bits = reps.select(F.col("doc_id").alias("id"), "bits")
-    live = scratch.keep(of.join(mixed.select("key", "top.comp").withColumnRenamed("comp", "main"), "key").join(bits, "id"), "live")
-    left = live.where("comp <> main").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("ba"))
-    right = live.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("bb"), "main")
-    differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(2 * T // 64)), F.lit(0))
-    # Two classes that are both outside the main component are met twice; only one of these is kept.
-    rest = left.join(right, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (differ <= most))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = scratch.keep(verified(rest), "rest")
+    mixed = (
+        parts.groupBy("key")
+        .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("comps"))
+        .where("comps > 1")
+        .select("key", F.col("top.comp").alias("main"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).alias("na"), F.ceil(F.col("size") / BLOCK).alias("nb"))
+    )
+    live = of.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "bits", "bands"), "id").join(texts, "id")
+    spread = lambda n, own: F.when(F.lit(own), F.array(F.pmod(F.xxhash64("id"), F.col(n)))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
+    meet = lambda df, asks: (
+        df.withColumn("i", F.explode(spread("na", asks)))
+        .withColumn("j", F.explode(spread("nb", not asks)))
+        .select(F.xxhash64("key", "i", "j").alias("g"), F.lit(asks).alias("asks"), "key", "id", "comp", (F.col("comp") == F.col("main")).alias("main"), "bits", "bands", "z")
+    )
+    live = meet(live.where("comp <> main"), True).unionByName(meet(live, False))
+    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    live = live.repartition(parts_n, "g").sortWithinPartitions("g")
+    more = scratch.keep(live.mapInArrow(_block_verifier(k, num, den, most), "a long, b long").distinct(), "rest")
     comp = scratch.keep(connected_components(links.unionByName(more), scratch, "cc2"), "comp2")
 
     groups = classes.join(comp, classes["rep"] == comp["id"], "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
