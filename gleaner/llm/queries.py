@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, html_text, language, near_dedup, pii, quality_rules
+from gleaner.llm import bpe, html_text, language, near_dedup, pii, quality_model, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.split_by_crc(language.identify(docs, model), 3, 1)
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = language.split_by_crc(_table(spark, sf_dir, "labels").select("doc_id", "quality"), 4, 2)
+    model = quality_model.train(docs, labels.where("not held_out"))
+    return language.split_by_crc(quality_model.score(docs, model), 4, 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_html_text": op9_html_text,
     "op10_language": op10_language,
+    "op3_quality_model": op3_quality_model,
     "op6_near_dedup": op6_near_dedup,
 }
 
