@@ -174,7 +174,7 @@ def _texts(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[
         yield at, run
 
 
-def _encoder(path: str, finish: Callable[[Bpe, str, int, str], tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(path: str, finish: Callable[[Bpe, str, int, str], tuple], kinds: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
@@ -185,7 +185,8 @@ def _encoder(path: str, finish: Callable[[Bpe, str, int, str], tuple]) -> Callab
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, made in run(batches):
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x) for x in made)], names=[str(i) for i in range(len(rest) + len(made))])
+            arrays = [*rest, *(pa.array(x, type=t) for x, t in zip(made, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[str(i) for i in range(len(arrays))])
 
     return arrow
 
@@ -194,8 +195,12 @@ def _digests(bpe: Bpe, text: str, n: int, ids: str) -> tuple[int, str, str]:
     return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
 
+def _ids_only(n: int, ids: str) -> tuple[int, list[int]]:
+    return n, list(map(int, ids.split(","))) if ids else []
+
+
 def _ids(bpe: Bpe, text: str, n: int, ids: str) -> tuple[int, list[int], str]:
-    return n, [int(x) for x in ids.split(",")] if ids else [], bpe.decode(ids)
+    return *_ids_only(n, ids), bpe.decode(ids)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -206,15 +211,30 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     - Texts of any length are encoded whole. Repeated rows give repeated results; an empty table gives an empty one.
     """
     out = "doc_id {}, n_tokens long, ids_sha256 string, decoded_sha256 string".format(dict(docs.dtypes)["doc_id"])
-    return docs.select("doc_id", "text").mapInArrow(_encoder(path, _digests), out)
+    return docs.select("doc_id", "text").mapInArrow(_encoder(path, _digests, [pa.int64(), pa.string(), pa.string()]), out)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with n_tokens (long), token_ids (array of int) and decoded (string) of its text; input columns of these
-    names are replaced, all others pass through."""
-    new = ["n_tokens", "token_ids", "decoded"]
-    kept = others(docs, new)
+def _passing(docs: DataFrame, path: str, types: dict[str, pa.DataType], finish: Callable[[Bpe, str, int, str], tuple]) -> DataFrame:
+    new = [x.split()[0] for x in types]
+    kept = others(docs, [*new, "text"])
     given = docs.select(*kept, F.col("text").alias("_gl_text"))
-    schema = ", ".join(f"`c{i}` {t}" for i, (_, t) in enumerate(given.dtypes[:-1]))
-    made = given.mapInArrow(_encoder(path, _ids), f"{schema}, n_tokens long, token_ids array<int>, decoded string")
+    schema = "".join(f"`{i}` {t}, " for i, (_, t) in enumerate(given.dtypes[:-1]))
+    made = given.mapInArrow(_encoder(path, finish, list(types.values())), schema + ", ".join(types))
     return made.toDF(*given.columns[:-1], *new)
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with n_tokens (long), token_ids (array of int) and decoded (string) in place of text; other input columns of
+    these names are left out, all others pass through. Texts are treated as by ``digests``."""
+    types = {"n_tokens long": pa.int64(), "token_ids array<int>": pa.list_(pa.int32()), "decoded string": pa.string()}
+    return _passing(docs, path, types, _ids)
+
+
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """As ``encode``, with the digests of ids and decoded text in place of the decoded text."""
+
+    def finish(bpe: Bpe, text: str, n: int, ids: str) -> tuple[int, list[int], str, str]:
+        return (*_ids_only(n, ids), *_digests(bpe, text, n, ids)[1:])
+
+    digest = {"ids_sha256 string": pa.string(), "decoded_sha256 string": pa.string()}
+    return _passing(docs, path, {"n_tokens long": pa.int64(), "token_ids array<int>": pa.list_(pa.int32())} | digest, finish)

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, html_text, language, near_dedup, pii, quality_model, quality_rules
+from gleaner.llm import bpe, html_text, language, mixing, near_dedup, pii, quality_model, quality_rules
+
+
+#: Shares of all words that the mixed corpus is to have.
+DOMAIN_WEIGHTS = {"good": 0.93, "poor": 0.03, "toxic": 0.04}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +47,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.split_by_crc(language.identify(docs, model), 3, 1)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.document_rates(docs, mixing.labelled_domains(_table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS).drop("text")
+
+
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = language.split_by_crc(_table(spark, sf_dir, "labels").select("doc_id", "quality"), 4, 2)
@@ -56,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_html_text": op9_html_text,
     "op10_language": op10_language,
+    "op2_mixing": op2_mixing,
     "op3_quality_model": op3_quality_model,
     "op6_near_dedup": op6_near_dedup,
 }
