@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, html_text, language, mixing, near_dedup, pii, quality_model, quality_rules
+from gleaner.llm import archives, bpe, html_text, language, mixing, near_dedup, pii, quality_model, quality_rules, revisits
 
 
 #: Shares of all words that the mixed corpus is to have.
@@ -17,6 +18,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.media_columns(spark, _table(spark, sf_dir, "documents")).drop("error")
+
+
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures(_table(spark, sf_dir, "pages")))
+    fields = F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit("="), F.element_at("headers", k)))
+    return found.withColumn("headers", F.array_join(fields, ";"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"), k=4, num=80, den=100)
 
@@ -67,7 +78,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op2_mixing": op2_mixing,
     "op3_quality_model": op3_quality_model,
+    "op4_media": op4_media,
+    "op5_revisits": op5_revisits,
     "op6_near_dedup": op6_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_revisits": r"""
+    WITH p AS (
+        SELECT page_id AS p, md5(html) AS m, page_id * 60 AS start,
+               regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+        FROM pages),
+    u AS (
+        SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^.*@', ''), '^www[.]', ''), ':(80|443)$', '')
+               || regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                    regexp_replace(regexp_replace(rest, '^[^/?]*', ''), '([?&])(ref|utm_[a-z]+|fbclid|gclid)=[^&]*', '\1', 'g'),
+                    '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS canonical
+        FROM p),
+    full_ AS (
+        SELECT canonical, start AS ts, p * 3 AS record_id, '"' || m || '"' AS tag, 'day ' || (p % 30) AS modified, 'day ' || (p % 7) AS date_
+        FROM u WHERE p % 5 <> 0
+        UNION ALL
+        SELECT canonical, start + 172800, p * 3 + 1, '"2-' || m || '"', 'day ' || (p % 30 + 2), NULL FROM u WHERE p % 3 = 0),
+    again AS (
+        SELECT canonical, start + (p % 4 + 1) * 86400 AS ts, p * 3 + 2 AS record_id,
+               CASE WHEN p % 7 = 0 THEN '"other"' WHEN p % 4 = 1 THEN NULL ELSE 'W/"' || m || '"' END AS tag,
+               CASE WHEN p % 8 <> 1 THEN 'day ' || (p % 30) END AS modified, 'day ' || (p % 11) AS expires
+        FROM u),
+    joined AS (
+        SELECT a.*, f.record_id AS base_id, f.tag AS tag0, f.modified AS modified0, f.date_ AS date0,
+               row_number() OVER (PARTITION BY a.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS n
+        FROM again a LEFT JOIN full_ f ON a.canonical = f.canonical AND (f.ts < a.ts OR f.ts = a.ts AND f.record_id < a.record_id)),
+    judged AS (
+        SELECT *, CASE WHEN base_id IS NULL THEN 'no_base'
+                       WHEN tag IS NOT NULL AND tag0 IS NOT NULL THEN CASE WHEN regexp_replace(tag, '^W/', '') = tag0 THEN 'resolved' ELSE 'mismatch' END
+                       WHEN modified IS NOT NULL AND modified0 IS NOT NULL THEN CASE WHEN modified = modified0 THEN 'resolved' ELSE 'mismatch' END
+                       ELSE 'unvalidated' END AS verdict
+        FROM joined WHERE n = 1)
+    SELECT record_id, canonical, ts, base_id, verdict,
+           CASE WHEN verdict = 'resolved'
+                THEN 'content-type=text/html' || coalesce(';date=' || date0, '') || ';etag=' || coalesce(tag, tag0) || ';expires=' || expires
+                     || ';last-modified=' || coalesce(modified, modified0)
+                ELSE 'content-type=none' || coalesce(';etag=' || tag, '') || ';expires=' || expires || coalesce(';last-modified=' || modified, '') END AS headers
+    FROM judged
+    """,
+}
