@@ -117,7 +117,7 @@ def _block_verifier(k: int, num: int, den: int, most: float) -> Callable[[Iterat
         if not len(qa) or not len(qb):
             return []
         ids, comp, main, bits, bands = t["id"], t["comp"], t["main"], t["bits"], t["bands"]
-        here = int(np.argmax(bands[qa[0]] == t["key"][qa[0]]))
+        here = int(np.argmax(bands[qa[0]] == t["key"].view(np.uint64)[qa[0]]))
         at, to = [], []
         for x in qa:
             ok = (comp[qb] != comp[x]) & (main[qb] | (ids[x] < ids[qb]))
@@ -178,7 +178,8 @@ def _block_verifier(k: int, num: int, den: int, most: float) -> Callable[[Iterat
                 held.extend(table.slice(cut[-2]).to_batches())
             cols = {c: table[c].to_numpy(zero_copy_only=False) for c in ("asks", "key", "id", "comp", "main")}
             for c, w in (("bits", 2 * T // 64), ("bands", T // R)):
-                cols[c] = table[c].combine_chunks().flatten().to_numpy().reshape(n, w)
+                # Unsigned: numpy counts the bits of a signed number's absolute value.
+                cols[c] = table[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, w)
             z = table["z"].combine_chunks()
             out = []
             for a, b in zip(cut[:end], cut[1 : end + 1], strict=True):
