@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gleaner.operators import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,23 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query(
-    "j1_change_detection",
-    """
-    WITH base AS (SELECT 'doc/' || doc_id AS path,
-                         sha256(CASE WHEN doc_id % 5 = 0 THEN text || '~' ELSE text END) AS sha256
-                  FROM documents WHERE doc_id % 7 <> 0),
-         cur AS (SELECT 'doc/' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 11 <> 0)
-    SELECT coalesce(c.path, b.path) AS path,
-           CASE WHEN b.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' ELSE 'modified' END AS change_type
-    FROM cur c FULL OUTER JOIN base b ON c.path = b.path
-    WHERE c.sha256 IS DISTINCT FROM b.sha256
-    """,
-)
-def j1_change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = F.concat(F.lit("doc/"), F.col("doc_id")).alias("path")
-    old = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
-    base = docs.where("doc_id % 7 <> 0").select(path, F.sha2(old, 256).alias("sha256"))
-    cur = docs.where("doc_id % 11 <> 0").select(path, F.sha2("text", 256).alias("sha256"))
-    return changes.snapshot_changes(cur, base)
+from gleaner.plans import code_queries, doc_queries, file_queries  # noqa: E402, F401  (they register themselves)
