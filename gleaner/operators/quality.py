@@ -114,10 +114,9 @@ def accuracy(blocks: DataFrame) -> DataFrame:
     """One row: code blocks, files that have any, languages by number (most first)."""
     lang = F.coalesce(F.nullif(F.lower("language"), F.lit("")), F.lit("plaintext"))
     by = blocks.groupBy(lang.alias("language")).agg(F.count(F.lit(1)).alias("n"))
-    named = by.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "language", "n"))).alias("l"))
-    return blocks.agg(F.count(F.lit(1)).alias("code_blocks"), F.countDistinct("doc").alias("files_with_code")).withColumn(
-        "languages", F.array_join(F.transform(named.scalar(), lambda x: F.concat_ws(":", x["language"], x["n"].cast("string"))), ",")
-    )
+    named = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "language", "n")))
+    named = by.agg(F.array_join(F.transform(named, lambda x: F.concat_ws(":", x["language"], x["n"].cast("string"))), ","))
+    return blocks.agg(F.count(F.lit(1)).alias("code_blocks"), F.countDistinct("doc").alias("files_with_code")).withColumn("languages", named.scalar())
 
 
 def purposefulness(docs: DataFrame) -> DataFrame:
