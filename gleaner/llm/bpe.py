@@ -22,7 +22,7 @@ from gleaner.llm.common import others
 #: How byte-level BPE cuts a text into words: a fixed value of the public vocabulary.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that a worker remembers; beyond it, it forgets all and starts anew, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Bytes of the longest word that is remembered.
 LONGEST = 64
 
@@ -62,7 +62,6 @@ class Bpe:
         marks = sorted(self.special, key=len, reverse=True)
         self.mark = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.seen: dict[str, str] = {}
-        self.count: dict[str, int] = {}
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each non-empty word."""
@@ -106,13 +105,11 @@ class Bpe:
         new = [w for w in words if w not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
-            self.count.clear()
             new = list(words)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
                 self.seen[w] = ",".join(map(str, ids.tolist()))
-                self.count[w] = len(ids)
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """The words of a text; a special token is given as its id."""
@@ -129,18 +126,18 @@ class Bpe:
         for x in [x for x in distinct if isinstance(x, int)]:
             distinct.discard(x)
         self.learn(distinct)
-        seen, count = self.seen, self.count
+        seen = self.seen
         out = []
         for words in cut:
             try:
-                out.append((sum(map(count.__getitem__, words)), ",".join(map(seen.__getitem__, words))))
+                ids = ",".join(map(seen.__getitem__, words))
             except KeyError:
-                out.append((sum(1 if isinstance(w, int) else count[w] for w in words), ",".join(str(w) if isinstance(w, int) else seen[w] for w in words)))
+                ids = ",".join(str(w) if isinstance(w, int) else seen[w] for w in words)
+            out.append((ids.count(",") + 1 if ids else 0, ids))
         # Long words would fill the memory without ever coming back.
         for w in distinct:
             if len(w) > LONGEST:
                 seen.pop(w, None)
-                count.pop(w, None)
         return out
 
     def decode(self, ids: str) -> str:
@@ -160,7 +157,7 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def _texts(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def _texts(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows of about ``most`` characters."""
     at, run, size = 0, [], 0
     for i, x in enumerate(column):

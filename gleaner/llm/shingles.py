@@ -18,7 +18,7 @@ _FOLD[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Texts are taken together up to this many bytes; a longer text is taken whole, alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _powers: list[np.ndarray] = []
 
 
@@ -31,20 +31,24 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, CHUNK_BYTES + 1)
-        inverse = pow(_BASE, -1, 2**64)
-        _powers[:] = [np.concatenate(([U(1)], np.cumprod(np.full(m - 1, b, dtype=U)))) for b in (_BASE, inverse)]
-    return _powers[0], _powers[1]
+    """The first ``n`` powers of the base and of its inverse; those for chunks of the usual size are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    m = max(n, CHUNK_BYTES + 2)
+    made = [np.concatenate(([U(1)], np.cumprod(np.full(m - 1, b, dtype=U)))) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    if m == CHUNK_BYTES + 2:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them); a null text has no bytes."""
-    texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     if texts.null_count:
-        texts = texts.fill_null(b"")
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, at, data = texts.buffers()
-    off = np.frombuffer(at, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    # The offsets and bytes of the Arrow column as they are: texts are not copied.
+    off = np.frombuffer(at, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     i, n = 0, len(texts)
     while i < n:
