@@ -11,7 +11,7 @@ from gleaner.llm import archives, bpe, html_text, language, mixing, near_dedup,
 
 
 #: Shares of all words that the mixed corpus is to have.
-DOMAIN_WEIGHTS = {"good": 0.93, "poor": 0.03, "toxic": 0.04}
+DOMAIN_WEIGHTS = {"good": 0.88, "poor": 0.03, "toxic": 0.09}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
