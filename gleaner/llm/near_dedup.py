@@ -209,6 +209,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
 
     - A null, empty or blank text has the empty set: n_shingles 0, linked with nothing, its own component, kept.
     - A text of fewer than ``k`` words has its whole word sequence as its one shingle.
+    - A null doc_id stands for nothing: its row is kept unless a row with a doc_id has the same set.
     - Rows of equal sets form one class, of which the smallest doc_id stands for all; classes of any size meet only in
       a map-side-combined minimum. Repeated rows give repeated rows. An empty table gives an empty result.
 
@@ -271,10 +272,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     groups = classes.join(comp, classes["rep"] == comp["id"], "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     out = made.select("doc_id", "n", "k1", "k2", "has").join(groups, ["k1", "k2"], "left")
     component = F.when(F.col("has"), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, all columns unchanged."""
+    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, all columns unchanged. Rows that repeat a
+    kept doc_id stay, as do those without one."""
     kept = near_duplicates(spark, docs, k, num, den).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*others(docs, []))
+    return docs.join(kept, "doc_id", "left_semi").select(*others(docs, [])).unionByName(docs.where("doc_id is null"))

@@ -151,6 +151,10 @@ def test_near_duplicates_edges(spark, odd):
     assert near_dedup.near_duplicates(spark, empty(odd)).count() == 0
     got = near_dedup.near_duplicates(spark, spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string"), 4).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 2, True)]
+    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, "x y z x y z w"), (None, None)], "doc_id long, text string")
+    got = near_dedup.near_duplicates(spark, docs, 4).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("4", "4", True), ("None", "4", False), ("None", "None", True), ("None", "None", True)]
+    assert near_dedup.drop_near_duplicates(spark, docs, 4).count() == 4
 
 
 def test_sketch_agreement_estimates_similarity():
