@@ -102,6 +102,16 @@ def module_all(text: str) -> list[str] | None:
     return None
 
 
+def module_lists(modules: DataFrame, key: str) -> DataFrame:
+    """(key, names) of ``modules`` (key, text): the names of each module's ``__all__``, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([module_all(t or "") for t in batch.column(1).to_pylist()], type=pa.list_(pa.string()))], names=[key, "names"])
+
+    return modules.select(key, "text").mapInArrow(run, f"`{key}` {dict(modules.dtypes)[key]}, names array<string>")
+
+
 # Languages with braces
 
 

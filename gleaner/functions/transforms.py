@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,6 +111,31 @@ def with_toc(text: str, max_depth: int = 3) -> str:
     return f"{section}\n\n{text}"
 
 
+def tables_of_contents(docs: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(doc, toc) of ``docs`` (doc, text)."""
+    return _each(docs, lambda t: (toc(t, max_depth),), {"toc": pa.string()})
+
+
+def front_matter(docs: DataFrame) -> DataFrame:
+    """(doc, kind, front_matter, body) of ``docs`` (doc, text); the values as JSON, null without front matter."""
+
+    def read(t: str) -> tuple[str | None, str | None, str]:
+        values, body, kind = split_front_matter(t)
+        return kind, None if values is None else json.dumps(values, ensure_ascii=False, default=str), body
+
+    return _each(docs, read, {"kind": pa.string(), "front_matter": pa.string(), "body": pa.string()})
+
+
+def _each(docs: DataFrame, f: Callable[[str], tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [f(t or "") for t in batch.column(1).to_pylist()]
+            cols = zip(*made, strict=True) if made else [()] * len(columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(cols, columns.values(), strict=True))], names=["doc", *columns])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc string, " + ", ".join(f"{c} string" for c in columns))
+
+
 def migrate(docs: DataFrame, moves: DataFrame, toc_depth: int | None = None) -> DataFrame:
     """K7: ``docs`` (doc, text) at their new places with links rewritten: (doc, new_doc, text, changed).
 

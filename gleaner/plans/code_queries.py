@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import markdown, paths, text
+from gleaner.functions import markdown, symbols, text
 from gleaner.operators import coverage, diff, references
 from gleaner.plans.carriers import DOC, PATH, table
 from gleaner.plans.carriers import markdown as part_docs
 from gleaner.plans.registry import query
+from gleaner.sources import git
 
 # Two snapshots of symbols: each part is a symbol that later loses, gains or changes something by its key.
 _FILE = "'src/m' || (p_partkey % 40) || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END"
@@ -180,8 +181,8 @@ def j13_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sup = table(spark, sf_dir, "supplier")
-    symbols = table(spark, sf_dir, "part").selectExpr(f"{_NAME} AS name", f"{_FILE} AS file", f"{_TYPE} AS type")
-    return sup.selectExpr(*_split(_ASK)), symbols, references.definitions(sup.selectExpr(*_split(_CODE)))
+    known = table(spark, sf_dir, "part").selectExpr(f"{_NAME} AS name", f"{_FILE} AS file", f"{_TYPE} AS type")
+    return sup.selectExpr(*_split(_ASK)), known, references.definitions(sup.selectExpr(*_split(_CODE)))
 
 
 _MATCH_SQL = f"""asked AS (SELECT DISTINCT *, regexp_extract(replace(reference, '()', ''), '[^.]*$') AS name FROM (SELECT {_ASK} FROM supplier)), sym AS (SELECT DISTINCT {_NAME} AS name, {_FILE} AS file FROM part),
@@ -276,9 +277,9 @@ _COVER_SQL = f"""s AS (SELECT {_SYM} FROM part), doc AS (SELECT DISTINCT unnest(
 def _cover(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = part_docs(spark, sf_dir)
     e = markdown.elements(docs)
-    symbols = table(spark, sf_dir, "part").selectExpr(*_split(_SYM))
+    known = table(spark, sf_dir, "part").selectExpr(*_split(_SYM))
     said = coverage.documented_names(e.where("kind = 'code_span'"), docs)
-    return symbols, said.unionByName(coverage.names_in_code(e.where("kind = 'code_block'"), symbols)).distinct()
+    return known, said.unionByName(coverage.names_in_code(e.where("kind = 'code_block'"), known)).distinct()
 
 
 @query("j8_j9_undocumented", f"WITH {_COVER_SQL} SELECT name, type FROM s WHERE name NOT IN (SELECT name FROM doc) AND name NOT IN (SELECT name FROM within_)")
@@ -301,8 +302,8 @@ def a4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT {_ASK} FROM supplier) WHERE regexp_extract(replace(reference, '()', ''), '[^.]*$') NOT IN (SELECT name FROM sym)""",
 )
 def j7_missing_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, symbols, _ = _asked(spark, sf_dir)
-    return coverage.missing_symbols(refs.withColumn("line", F.lit(1)), symbols)
+    refs, known, _ = _asked(spark, sf_dir)
+    return coverage.missing_symbols(refs.withColumn("line", F.lit(1)), known)
 
 
 @query("a5_docstring_coverage", f"SELECT count(*) FILTER (name NOT LIKE '\\_%' ESCAPE '\\') AS total, count(*) FILTER (name NOT LIKE '\\_%' ESCAPE '\\' AND doc IS NOT NULL) AS documented FROM (SELECT {_OLD} FROM part)")
@@ -331,3 +332,67 @@ def j21_w5_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j22_symbols_of_a_file", f"SELECT name, type FROM (SELECT {_OLD} FROM part) WHERE file = 'src/m3.py'")
 def j22_symbols_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*_split(_OLD)).where("file = 'src/m3.py'").select("name", "type")
+
+
+# Source files: a Python module and a Go file for each part.
+_PY = "'@dataclass' || chr(10) || 'class C' || p_partkey || ':' || chr(10) || '    x: int = ' || p_size || chr(10) || '    y: str | None = None' || chr(10) || '    def m(self): ...' || chr(10) || chr(10) || 'def f' || p_partkey || '(a, b=' || p_size || '):' || chr(10) || '    pass' || chr(10)"
+_GO = "'package p' || chr(10) || 'func Run' || p_partkey || '(n int) error {' || chr(10) || '}' || chr(10) || 'type S' || p_partkey || 'Config struct {' || chr(10) || chr(9) || 'Name string `yaml:\"name,omitempty\"`' || chr(10) || '}' || chr(10)"
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    py = part.selectExpr("'m' || p_partkey || '.py' AS path", f"{_PY} AS text")
+    return py.unionByName(part.selectExpr("'m' || p_partkey || '.go' AS path", f"{_GO} AS text"))
+
+
+@query(
+    "p8_symbols",
+    """SELECT 'm' || p_partkey || '.py' AS file, unnest(['C' || p_partkey, 'm', 'f' || p_partkey]) AS name, unnest(['class', 'method', 'function']) AS type, CAST(unnest([2, 5, 7]) AS INTEGER) AS line,
+        unnest([NULL, 'C' || p_partkey, NULL]) AS parent, unnest(['class C' || p_partkey, 'def m(self)', 'def f' || p_partkey || '(a, b=' || p_size || ')']) AS signature FROM part
+    UNION ALL SELECT 'm' || p_partkey || '.go', unnest(['Run' || p_partkey, 'S' || p_partkey || 'Config']), unnest(['function', 'struct']), CAST(unnest([2, 4]) AS INTEGER), NULL, unnest(['func Run' || p_partkey || '(n int) error', NULL]) FROM part""",
+)
+def p8_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.symbols(_code(spark, sf_dir)).select("file", "name", "type", "line", "parent", "signature")
+
+
+@query(
+    "p9_config_fields",
+    """SELECT 'C' || p_partkey AS parent_symbol, unnest(['x', 'y']) AS name, unnest(['int', 'str | None']) AS field_type, unnest(['' || p_size, 'None']) AS default_value, unnest([false, true]) AS is_optional FROM part
+    UNION ALL SELECT 'S' || p_partkey || 'Config', 'Name', 'string', NULL, true FROM part""",
+)
+def p9_config_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.config_fields(symbols.symbols(_code(spark, sf_dir))).select("parent_symbol", "name", "field_type", "default_value", "is_optional")
+
+
+@query(
+    "p11_snippet_issues",
+    """SELECT 'syntax_error' AS type, CASE WHEN p_partkey % 3 = 0 THEN 'error' ELSE 'warning' END AS severity, 'd' || p_partkey AS file, CAST(p_size AS INTEGER) AS line FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 2 = 0""",
+)
+def p11_snippet_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "part").selectExpr(
+        "'d' || p_partkey AS doc", "p_size AS line", "CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'json' ELSE 'go' END AS language",
+        "CASE WHEN p_partkey % 2 = 1 THEN CASE p_partkey % 3 WHEN 0 THEN 'x = ' || p_size ELSE '{\"a\": ' || p_size || '}' END ELSE 'def (' END AS text",
+    )
+    return symbols.snippet_issues(blocks, "Python").select("type", "severity", "file", "line")
+
+
+@query("s18_module_all", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'a' || p_size || ',b' END AS names FROM part")
+def s18_module_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN '__all__ = [\"a' || p_size || '\", \"b\"]' ELSE 'x = 1' END AS text")
+    return symbols.module_lists(rows, "id").withColumn("names", F.array_join("names", ","))
+
+
+@query(
+    "s15_asset_probe",
+    """SELECT type, count(*) AS n FROM (SELECT CASE c_nationkey % 3 WHEN 0 THEN 'external_asset_error' WHEN 1 THEN 'external_asset_unreachable' END AS type FROM customer) WHERE type IS NOT NULL GROUP BY type""",
+)
+def s15_asset_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "customer").selectExpr("'d' || c_custkey AS doc", "'http://h/' || c_nationkey AS src")
+    status = lambda u: {0: 404, 1: None}.get(int(u.rsplit("/", 1)[1]) % 3, 200)
+    return git.probe_assets(urls, status).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s16_doc_health", "SELECT count(*) AS files, 3 AS days, true AS drift FROM (SELECT s_nationkey AS f FROM supplier UNION SELECT c_nationkey FROM customer)")
+def s16_doc_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = [table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS file"), table(spark, sf_dir, "customer").selectExpr("c_nationkey AS file")]
+    return git.doc_health(lists, 3)

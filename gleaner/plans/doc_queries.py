@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import markdown, text
+from gleaner.functions import markdown, text, transforms
 from gleaner.operators import conventions, links, quality, references
 from gleaner.plans.carriers import ALT, DOC, LANG, LINK, MARK, NL, SUB, SUB_LEVEL, TEXT, TITLE, table
 from gleaner.plans.carriers import markdown as part_docs
@@ -305,3 +305,37 @@ def f9_f10_x17_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x12_strip_fences", f"WITH {_DOCS} SELECT doc, sha256(regexp_replace(text, '(?ms)^```.*?^```', '', 'g')) AS sha FROM d")
 def x12_strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_docs(spark, sf_dir).select("doc", F.sha2(text.strip_fences(F.col("text")), 256).alias("sha"))
+
+
+@query(
+    "x7_x8_k7_migration",
+    f"""WITH {_DOCS}, m AS (SELECT *, k % 7 = 0 AS moved, (s0 % 7) = 0 AS target_moved FROM (SELECT *, k % 9 AS s0 FROM d))
+    SELECT doc, CASE WHEN k % 7 = 0 THEN replace(doc, 'docs/d0/', 'docs/manual/') ELSE doc END AS new_doc, k % 7 = 0 OR hit AS changed,
+        CASE WHEN hit AND k % 7 = 0 THEN replace(substr(link, 4), 'd0/', '') WHEN hit THEN replace(link, '../d0/', '../manual/') ELSE link END AS link
+    FROM (SELECT *, ('docs/' || substr(link, 4)) IN (SELECT doc FROM d WHERE k % 7 = 0) AS hit FROM m)""",
+)
+def x7_x8_k7_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = part_docs(spark, sf_dir)
+    moves = docs.where("p_partkey % 7 = 0").selectExpr("doc AS old", "replace(doc, 'docs/d0/', 'docs/manual/') AS new")
+    got = transforms.migrate(docs, moves)
+    return got.select("doc", "new_doc", "changed", F.regexp_extract("text", r"\[more\]\(([^)]*)\)", 1).alias("link"))
+
+
+@query(
+    "x9_toc",
+    f"""WITH {_DOCS}, h AS (SELECT doc, CASE WHEN titled THEN '- [Title of ' || brand || '](#' || replace(replace(lower('Title of ' || brand), '#', ''), ' ', '-') || ')' ELSE '' END AS one,
+        CASE WHEN level <= 3 THEN repeat('  ', CAST(level - 1 AS INTEGER)) || '- [' || t || '](#' || replace(lower(t), ' ', '-') || ')' ELSE '' END AS two
+        FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 'The Size Of Box ' ELSE 'the size ' END || s AS t FROM d))
+    SELECT doc, one || CASE WHEN one <> '' AND two <> '' THEN chr(10) ELSE '' END || two AS toc FROM h""",
+)
+def x9_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.tables_of_contents(part_docs(spark, sf_dir))
+
+
+@query("x10_front_matter", "SELECT p_partkey AS doc, CASE WHEN p_partkey % 3 < 2 THEN ['yaml', 'toml'][p_partkey % 3 + 1] END AS kind, CASE WHEN p_partkey % 3 < 2 THEN '{\"size\": ' || p_size || '}' END AS front_matter, 'body ' || p_size AS body FROM part")
+def x10_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "CAST(p_partkey AS STRING) AS doc",
+        f"CASE p_partkey % 3 WHEN 0 THEN '---' || {NL} || 'size: ' || p_size || {NL} || '---' || {NL} WHEN 1 THEN '+++' || {NL} || 'size = ' || p_size || {NL} || '+++' || {NL} ELSE '' END || 'body ' || p_size AS text",
+    )
+    return transforms.front_matter(rows).withColumn("doc", F.col("doc").cast("long"))

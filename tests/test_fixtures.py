@@ -286,3 +286,26 @@ def test_locks(tmp_path):
                 pass
     with snapshots.locked(str(tmp_path)):
         pass
+
+
+def test_guards(spark, tmp_path):
+    from gleaner.plans import guards
+
+    assert guards.checked_root(str(tmp_path)) == str(tmp_path) and guards.checked_patterns(["**/*.py"]) == ["**/*.py"]
+    for bad in ("relative", str(tmp_path / "none"), f"{tmp_path}/../x"):
+        with pytest.raises(ValueError):
+            guards.checked_root(bad)
+    for bad in (["x"] * 51, ["y" * 513], ["(a+)+"], ["../x"]):
+        with pytest.raises(ValueError):
+            guards.checked_patterns(bad)
+    (tmp_path / "in").write_text("x")
+    (tmp_path / "out").symlink_to("/etc/hostname")
+    (tmp_path / "loop").symlink_to(tmp_path / "loop")
+    assert guards.within(str(tmp_path), "in") and not guards.within(str(tmp_path), "out")
+    with pytest.raises(RecursionError):
+        guards.within(str(tmp_path), "loop")
+    assert len(guards.summary(conventions.Conventions(max_depth=3))) == 5
+    df = spark.range(60).selectExpr("id AS doc")
+    assert guards.shown(df, "undocumented", "doc").count() == 50 and "generated_by" in guards.stamped(df, "x").columns
+    with guards.time_limit(spark, 30):
+        assert df.count() == 60
