@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, scra
             x = [statistics(t or "") for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "check"])
 
-    sample = scratch.keep(rows.mapInArrow(measured, "x array<double>, y double, check boolean").coalesce(8), "sample")
+    # Dealt anew, not coalesced: the scan of the texts keeps all its tasks, only the bounded sample comes together.
+    sample = scratch.keep(rows.mapInArrow(measured, "x array<double>, y double, check boolean").repartition(8), "sample")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, len(NAMES)))
