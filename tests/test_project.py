@@ -120,3 +120,29 @@ def test_query_equals_oracle(spark, con, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(registry.ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_stored_json(spark, tmp_path):
+    from gleaner.sources import snapshots as s
+
+    (tmp_path / "b.json").write_text('{"version": "1.0.0", "files": {"a.py": "1", "b.py": "2"}, "extra": 1}')
+    (tmp_path / "s.json").write_text('{"symbols": {"f": [{"name": "f", "type": "function", "file": "a.py", "line": 3}, {"type": "class"}], "g": []}}')
+    (tmp_path / "d.json").write_text('{"doc_to_code": {"x.md": ["a.py", "b.py"], "y.md": []}}')
+    (tmp_path / "bad.json").write_text("{not json")
+    assert sorted(map(tuple, s.read_baseline_json(spark, str(tmp_path / "b.json")).collect())) == [("a.py", "1"), ("b.py", "2")]
+    assert [(r.name, r.file, r.line) for r in s.read_symbols_json(spark, str(tmp_path / "s.json")).collect()] == [("f", "a.py", 3)]
+    assert sorted(map(tuple, s.read_dependencies_json(spark, str(tmp_path / "d.json")).collect())) == [("x.md", "a.py"), ("x.md", "b.py")]
+    assert s.read_baseline_json(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_snapshots_replace_each_other(spark, tmp_path):
+    from gleaner.sources.snapshots import Snapshots
+
+    s = Snapshots(spark, str(tmp_path / "state"))
+    assert s.read("files") is None and s.header("files") is None
+    one = s.write("files", spark.range(3), note="a")
+    two = s.write("files", spark.range(5), note="b")
+    assert one["created_at"] == two["created_at"] and s.read("files").count() == 5 and s.header("files")["note"] == "b"
+    (tmp_path / "state" / "files.current.json").write_text("{broken")
+    (tmp_path / "state" / ".files.current.json.crc").unlink(missing_ok=True)
+    assert s.header("files") is None and s.read("files") is None
