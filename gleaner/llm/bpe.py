@@ -22,7 +22,7 @@ from gleaner.llm.common import others
 #: How byte-level BPE cuts a text into words: a fixed value of the public vocabulary.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that a worker remembers; beyond it, it forgets all and starts anew, which changes no result.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Bytes of the longest word that is remembered.
 LONGEST = 64
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space and U+0009 to U+000D, nothing else.
 BLANKS = " \t\n\x0b\f\r"
+#: Rows of an Arrow batch in what ``Scratch.keep`` runs.
+ARROW_ROWS = 1_000
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
 
@@ -48,7 +50,14 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read back, without its lineage."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        # Smaller batches to and from Python while this runs: whole texts come in them, and each task holds some at once.
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        try:
+            self.spark.conf.set(key, str(ARROW_ROWS if int(before) <= 0 else min(int(before), ARROW_ROWS)))
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
