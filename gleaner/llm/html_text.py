@@ -31,6 +31,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation footer header masthead cookie cookies consent gdpr notice notification alert banner comment comments disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget breadcrumb breadcrumbs pagination pager copyright skip toolbar complementary contentinfo search".split()
 )
+#: Words beside a mark that turn it around, as in "no-sidebar" or "content-with-sidebar".
+TURNED = frozenset("no not without with has free hide hidden main content".split())
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be been but by can could did do for from had has have he her his how i if in into is it its just like more most my no not of on one only or other our out over she so some than that the their them then there these they this to up was we were what when which who will with would you your
     au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur lui mais ne nous ou par pas plus pour qu que qui sa se ses son sont sur un une vous y
@@ -60,15 +62,17 @@ class Block:
 
 def _marked(attributes: str) -> bool:
     for m in _MARK.finditer(attributes):
-        if MARKS & set(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(re.split(r"[^a-z]+", name))
+            if MARKS & parts and not TURNED & parts:
+                return True
     return False
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in page order. Elements left open are closed by the end of what holds them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate from here, article from here
+    stack: list[tuple[str, str, bool]] = []  # tag, what makes it boilerplate ("tag", "mark" or ""), article from here
     parts: list[str] = []
     links: list[str] = []
     state = {"inside": False, "around": False, "heading": False, "anchor": False}
@@ -82,8 +86,10 @@ def blocks(page: str) -> list[Block]:
         links.clear()
 
     def refresh() -> None:
-        state["inside"] = any(s[2] for s in stack)
-        state["around"] = any(s[1] for s in stack)
+        last = max((i for i, s in enumerate(stack) if s[2]), default=-1)
+        state["inside"] = last >= 0
+        # A marked wrapper around a whole article says nothing about the article.
+        state["around"] = any(s[1] == "tag" or s[1] and i > last for i, s in enumerate(stack))
         state["heading"] = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)
         state["anchor"] = any(s[0] == "a" for s in stack)
 
@@ -127,8 +133,9 @@ def blocks(page: str) -> list[Block]:
             if tag == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
             held = any(s[2] for s in stack)
-            around = tag in AROUND or (tag == "header" and not held) or (tag not in ("html", "body", *INSIDE) and _marked(m[3]))
-            stack.append((tag, around, tag in INSIDE))
+            by_tag = tag in AROUND or (tag == "header" and not held)
+            by_mark = tag not in ("html", "body", *INSIDE) and _marked(m[3])
+            stack.append((tag, "tag" if by_tag else "mark" if by_mark else "", tag in INSIDE))
         refresh()
     flush()
     return out

@@ -399,6 +399,8 @@ def test_main_text():
     assert html_text.main_text(page[: page.index("Short")]) == want.removesuffix(" Short one.")
     plain = f'<body><div class="sidebar"><p>{body}</p></div><div><h1>Title</h1><p>{body}</p><p>Short.</p><p><a href="x">{body}</a></p></div><form>{body}</form><aside>{body}</aside>'
     assert html_text.main_text(plain) == " ".join(f"Title {body} Short.".split())
+    wrapped = f'<div class="content-with-sidebar"><div class="page header"><article class="post"><p>{body}</p><div class="share-links">the and of it</div></article></div><div class="ad-slot">{body}</div></div>'
+    assert html_text.main_text(wrapped) == " ".join(body.split())
     for x in (None, "", "<", "<article>", "<!-- x", "<p a='>", "<script>"):
         assert html_text.main_text(x) == ""
 
