@@ -31,6 +31,7 @@ class Project:
         self.settings = (project.load_yaml(f"{self.root}/.gleaner.yml") or {}) | self.settings
         self.docs_root = self.settings.get("docs_path") or "docs"
         self.state = Snapshots(self.spark, f"{self.root}/{STATE}")
+        self._kept: DataFrame | None = None
 
     def files(self) -> DataFrame:
         return project.scan(self.spark, self.root, project.default_excludes() + list(self.settings.get("exclude") or []), self.settings.get("gitignore"))
@@ -61,6 +62,13 @@ class Project:
         found = found.unionByName(references.match_commands(refs, src, sym, git.project_name(self.root)))
         return refs, found, references.unmatched(refs, found, git.project_name(self.root))
 
+    def _parsed(self, docs: DataFrame) -> DataFrame:
+        """The elements of documents, parsed once for all checks of a report; those of the report before are let go."""
+        if self._kept is not None:
+            self._kept.unpersist()
+        self._kept = markdown.elements(docs).persist()
+        return self._kept
+
     def init(self, mode: str = "existing") -> dict:
         """State, configuration and conventions of a project; ``bootstrap`` also writes the first documents."""
         if mode == "bootstrap":
@@ -121,7 +129,7 @@ class Project:
         if incremental and (base := self.state.read("files")) is not None:
             fresh = changes.changed_since(self.files().select("path", "sha256"), base).select(F.col("path").alias("doc"))
             docs = docs.join(fresh, "doc", "left_semi")
-        e = markdown.elements(docs)
+        e = self._parsed(docs)
         kind = lambda k: e.where(F.col("kind") == k)
         found = []
         if "links" in checks:
@@ -148,7 +156,7 @@ class Project:
     def assess_quality(self, criteria: tuple[str, ...] = CRITERIA) -> tuple[DataFrame, DataFrame]:
         """(scores by criterion, overall score)."""
         docs = self.docs()
-        e = markdown.elements(docs)
+        e = self._parsed(docs)
         kind = lambda k: e.where(F.col("kind") == k)
         sym = self.symbols()
         open_ = sym.where(coverage.public(F.col("name"), F.col("file"), F.col("parent"), F.lit(None).cast("array<string>")))

@@ -254,7 +254,8 @@ def a13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a15_overall_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = part_docs(spark, sf_dir)
-    e = markdown.elements(docs)
+    # Six criteria read the elements: they are parsed once and kept, on disk where memory is short.
+    e = markdown.elements(docs).persist()
     kind = lambda k: e.where(F.col("kind") == k)
     m = quality.relevance(docs)
     for other in (
