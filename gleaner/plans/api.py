@@ -69,13 +69,22 @@ class Project:
         self._kept = markdown.elements(docs).persist()
         return self._kept
 
-    def init(self, mode: str = "existing") -> dict:
-        """State, configuration and conventions of a project; ``bootstrap`` also writes the first documents."""
+    def init(self, mode: str = "existing", platform: str = "mkdocs") -> dict:
+        """State, configuration and conventions of a project; ``bootstrap`` also writes the first documents and the
+        configuration of a platform (mkdocs, hugo or docusaurus). Files that are there stay as they are."""
+        if mode not in ("existing", "bootstrap"):
+            raise ValueError(f"unknown mode: {mode!r}")
         if mode == "bootstrap":
-            for name, text in TEMPLATES.items():
-                project.Path(f"{self.root}/{self.docs_root}/{name}").parent.mkdir(parents=True, exist_ok=True)
-                if not project.Path(f"{self.root}/{self.docs_root}/{name}").exists():
-                    project.Path(f"{self.root}/{self.docs_root}/{name}").write_text(text, encoding="utf-8")
+            if platform not in PLATFORM_FILES:
+                raise ValueError(f"no templates for {platform!r}")
+            name = git.project_name(self.root)
+            made = {f"{self.docs_root}/{k}": v for k, v in TEMPLATES.items()}
+            made |= {k: v.replace("{name}", name).replace("{docs}", self.docs_root) for k, v in PLATFORM_FILES[platform].items()}
+            for path, text in made.items():
+                to = project.Path(self.root, path)
+                to.parent.mkdir(parents=True, exist_ok=True)
+                if not to.exists():
+                    to.write_text(text, encoding="utf-8")
         project.save_default_conventions(f"{self.root}/{STATE}/conventions.yml")
         return self.update_baseline()
 
@@ -209,3 +218,9 @@ TEMPLATES = {
     "reference/api.md": "# API reference\n",
     "reference/configuration.md": "# Configuration\n",
 }
+#: What a platform needs to build them.
+PLATFORM_FILES = {
+    "mkdocs": {"mkdocs.yml": "site_name: {name}\ndocs_dir: {docs}\nnav:\n  - Home: index.md\n  - Guide: guides/getting-started.md\n  - API: reference/api.md\n  - Configuration: reference/configuration.md\n"},
+    "hugo": {"hugo.yaml": "title: {name}\ncontentDir: {docs}\nmarkup:\n  goldmark:\n    renderer:\n      unsafe: false\n"},
+    "docusaurus": {"docusaurus.config.js": "module.exports = {\n  title: '{name}',\n  url: 'https://example.com',\n  baseUrl: '/',\n  presets: [['classic', {docs: {path: '{docs}', routeBasePath: '/'}}]],\n};\n"},
+}

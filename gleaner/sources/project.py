@@ -19,7 +19,7 @@ from gleaner.functions import paths
 EXCLUDED_FOLDERS = (
     ".git .svn .hg .bzr __pycache__ .pytest_cache .mypy_cache .ruff_cache .tox .nox venv .venv env .virtualenv .eggs dist build htmlcov .hypothesis node_modules .npm .yarn .pnp coverage .next .nuxt "
     ".output .turbo out vendor bin pkg target .gradle .mvn .idea .vs Debug Release x64 x86 .bundle obj packages .vscode deps .elixir_ls .dart_tool .build DerivedData .swiftpm .stack-work "
-    "dist-newstyle .terraform .serverless .aws-sam .settings nbproject tmp temp logs _build .docusaurus public site .doc-manager .gleaner"
+    "dist-newstyle .terraform .serverless .aws-sam .settings nbproject tmp temp logs _build .docusaurus public site .gleaner"
 ).split()
 EXCLUDED_GLOB_FOLDERS = ("*.egg-info", "cmake-build-*", "*.xcodeproj")
 EXCLUDED_FILES = (

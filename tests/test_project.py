@@ -81,6 +81,10 @@ def test_scan_limits(spark, tree):
 def test_bootstrap(spark, tmp_path):
     p = Project(spark, str(tmp_path))
     p.init("bootstrap")
+    assert "docs_dir: docs" in (tmp_path / "mkdocs.yml").read_text() and [r.platform for r in p.detect_platform().collect()] == ["mkdocs"]
+    for mode, platform in (("other", "mkdocs"), ("bootstrap", "none")):
+        with pytest.raises(ValueError):
+            p.init(mode, platform)
     assert (tmp_path / "docs/guides/getting-started.md").exists() and p.validate(("links",)).count() == 0
     assert files.load_yaml(str(tmp_path / ".gleaner/conventions.yml"))["terminology"] and files.load_yaml(str(tmp_path / "none.yml")) is None
     assert files.save_default_conventions(str(tmp_path / ".gleaner/conventions.yml")) is False
