@@ -228,12 +228,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     )
     made = scratch.keep(made, "sketches")
 
-    classes = made.where("has").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(made.where("has").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = made.where("has").join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
     reps = reps.dropDuplicates(["doc_id"])
     in_band = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     hubs = in_band.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = scratch.keep(in_band.join(hubs.select("key", "hub"), "key").select("key", "id", "hub"), "met")
+    # Sums of hot keys are written before they are joined: a join whose two sides are dealt out for it can be split by Spark.
+    hubs = scratch.keep(hubs.select("key", "hub"), "hubs")
+    met = scratch.keep(in_band.join(hubs, "key").select("key", "id", "hub"), "met")
 
     candidates = met.select("id").distinct()
     texts = docs.mapInArrow(_pack, "id long, z binary")
@@ -256,6 +258,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
         .where("comps > 1")
         .select("key", F.col("top.comp").alias("main"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).alias("na"), F.ceil(F.col("size") / BLOCK).alias("nb"))
     )
+    mixed = scratch.keep(mixed, "mixed")
     live = of.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "bits", "bands"), "id").join(texts, "id")
     spread = lambda n, own: F.when(F.lit(own), F.array(F.pmod(F.xxhash64("id"), F.col(n)))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
     meet = lambda df, asks: (
@@ -270,6 +273,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     comp = scratch.keep(connected_components(links.unionByName(more), scratch, "cc2"), "comp2")
 
     groups = classes.join(comp, classes["rep"] == comp["id"], "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
+    groups = scratch.keep(groups, "groups")
     out = made.select("doc_id", "n", "k1", "k2", "has").join(groups, ["k1", "k2"], "left")
     component = F.when(F.col("has"), F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
