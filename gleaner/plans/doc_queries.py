@@ -136,7 +136,7 @@ def w1_heading_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.heading_jumps(rows).withColumn("ord", F.col("ord.n"))
 
 
-@query("a1_list_markers", f"WITH {_DOCS} SELECT doc, mark AS marker, 2 AS n FROM d")
+@query("a1_list_markers", f"WITH {_DOCS} SELECT doc, mark AS marker, 2::BIGINT AS n FROM d")
 def a1_list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _elements(spark, sf_dir, "code_block").select("doc", "line", "text")
     return quality.list_markers(part_docs(spark, sf_dir), blocks)
@@ -161,7 +161,7 @@ def a2_heading_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.heading_styles(_elements(spark, sf_dir, "header"))
 
 
-@query("a3_bad_h1", f"WITH {_DOCS} SELECT doc, 0 AS h1 FROM d WHERE NOT titled")
+@query("a3_bad_h1", f"WITH {_DOCS} SELECT doc, 0::BIGINT AS h1 FROM d WHERE NOT titled")
 def a3_bad_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.bad_h1_counts(part_docs(spark, sf_dir), _elements(spark, sf_dir, "header"))
 
@@ -206,8 +206,8 @@ def a8_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a9_purposefulness",
-    f"""WITH {_DOCS} SELECT count(*) AS files, count(*) AS files_with_h1, 0 AS files_with_toc,
-        {", ".join(f"0 AS type_{k}" for k in quality.DOC_TYPES)} FROM d""",
+    f"""WITH {_DOCS} SELECT count(*) AS files, count(*) AS files_with_h1, 0::BIGINT AS files_with_toc,
+        {", ".join(f"0::BIGINT AS type_{k}" for k in quality.DOC_TYPES)} FROM d""",
 )
 def a9_purposefulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.purposefulness(part_docs(spark, sf_dir))
@@ -220,7 +220,7 @@ def a10_duplicate_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a11_consistency",
-    f"WITH {_DOCS} SELECT CAST(sum(CASE WHEN titled THEN 3 ELSE 2 END) AS BIGINT) AS atx, 0 AS setext, count(*) FILTER (lang = '') AS unlabeled_blocks FROM d",
+    f"WITH {_DOCS} SELECT CAST(sum(CASE WHEN titled THEN 3 ELSE 2 END) AS BIGINT) AS atx, 0::BIGINT AS setext, count(*) FILTER (lang = '') AS unlabeled_blocks FROM d",
 )
 def a11_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.consistency(part_docs(spark, sf_dir), _elements(spark, sf_dir, "code_block"))
@@ -230,7 +230,7 @@ def a11_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a12_x13_clarity",
     """WITH t AS (SELECT text, len(list_filter(regexp_split_to_array(text, '[\\p{Z}\\s]+'), lambda x: x <> '')) AS w FROM documents)
     SELECT count(*) AS files, CAST(sum(w) AS BIGINT) AS words, CAST(sum(w) // count(*) AS BIGINT) AS mean_words, count(*) FILTER (regexp_matches(text, '\\bexamples?\\b', 'i')) AS files_with_examples,
-        0 AS files_with_links, 0 AS internal_links, count(*) FILTER (regexp_matches(text, 'table of contents|## contents', 'i')) AS files_with_toc FROM t""",
+        0::BIGINT AS files_with_links, 0::BIGINT AS internal_links, count(*) FILTER (regexp_matches(text, 'table of contents|## contents', 'i')) AS files_with_toc FROM t""",
 )
 def a12_x13_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS STRING) AS doc", "text")
@@ -284,7 +284,7 @@ def p13_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conventions.violations(markdown.elements(part_docs(spark, sf_dir)), conventions.Conventions(max_depth=3))
 
 
-@query("a19_asset_coverage", f"WITH {_DOCS} SELECT count(*) AS total, count(*) AS local, 0 AS external, count(DISTINCT doc) AS documents FROM d")
+@query("a19_asset_coverage", f"WITH {_DOCS} SELECT count(*) AS total, count(*) AS local, 0::BIGINT AS external, count(DISTINCT doc) AS documents FROM d")
 def a19_asset_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.asset_coverage(_elements(spark, sf_dir, "image").select("doc", F.col("url").alias("src")))
 
