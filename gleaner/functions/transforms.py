@@ -22,12 +22,12 @@ _LINK = re.compile(r"(?<!\\)(!?\[(?:[^\]\\]|\\.)*\]\()([^)\s]+)((?:\s+\"[^\"]*\"
 def split_front_matter(text: str) -> tuple[dict | None, str, str | None]:
     """(values, rest, kind) of a document; kind is yaml, toml, json or null. Front matter that can't be read is text."""
     try:
-        if m := re.match(r"---\s*\n(.*?)\n---\s*(?:\n|\Z)", text, re.S):
+        if m := re.match(r"---[ \t]*\n(.*?)^---[ \t]*(?:\n|\Z)", text, re.S | re.M):
             import yaml
 
             got = yaml.safe_load(m[1])
             return (got, text[m.end() :], "yaml") if isinstance(got, dict) else (None, text, None)
-        if m := re.match(r"\+\+\+\s*\n(.*?)\n\+\+\+\s*(?:\n|\Z)", text, re.S):
+        if m := re.match(r"\+\+\+[ \t]*\n(.*?)^\+\+\+[ \t]*(?:\n|\Z)", text, re.S | re.M):
             import tomllib
 
             return tomllib.loads(m[1]), text[m.end() :], "toml"
