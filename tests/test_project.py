@@ -105,7 +105,12 @@ def _same(spark, name, con):
     got = registry.QUERIES[name](spark, SF).toPandas()
     want = con.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    show = lambda df: sorted(repr([None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r]) for r in df[sorted(df.columns)].astype(object).values.tolist())
+
+    def show(df):
+        plain = df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None)
+        number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+        return sorted(repr([round(float(v), 6) if number(v) else v for v in r]) for r in plain.values.tolist())
+
     assert show(got) == show(want)
 
 
