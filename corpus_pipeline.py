@@ -12,6 +12,9 @@ from gleaner.llm import bpe, mixing, near_dedup, pii, quality_rules
 from gleaner.llm.common import Scratch
 from gleaner.llm.queries import DOMAIN_WEIGHTS
 
+#: The quality stage leaves hardly any poor text, and repeating that little until it has its share would fill the corpus with
+#: it: a domain that would need a rate over this throughout keeps its words in the mixing stage (and that is logged).
+SCARCE = 4.0
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -40,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates towards the target weights say."""
-    return mixing.mix(docs.select(*COLUMNS), mixing.labelled_domains(_labels(spark, sf_dir)), DOMAIN_WEIGHTS).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), mixing.labelled_domains(_labels(spark, sf_dir)), DOMAIN_WEIGHTS, scarce=SCARCE).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,9 @@ SMOOTH = 1.0
 #: A word's evidence counts this much: words of one text are far from independent.
 TEMPER = 0.05
 STEPS = 40
-#: No document comes more often than this (the usual limit on repeated epochs).
+#: A limit on rates for callers that want one (the usual limit on repeated epochs); without one rates have no upper bound.
 MOST_RATE = 4.0
+_LOG = logging.getLogger(__name__)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -98,14 +100,14 @@ def train(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) ->
     return Posteriors(names, np.log(prior / prior.sum()), np.log((c + SMOOTH) / (c.sum(axis=0) + SMOOTH * BUCKETS)))
 
 
-def reachable(weights: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """Targets of the domains that add up to ``mass.sum()`` by ``weights``. A domain that would need a rate over ``MOST_RATE``
-    throughout has too few words to be brought there: it keeps its present ``mass``, and the others share the rest."""
+def reachable(weights: np.ndarray, mass: np.ndarray, scarce: float = MOST_RATE) -> np.ndarray:
+    """Targets of the domains that add up to ``mass.sum()`` by ``weights``, for callers that give ``scarce``: a domain that would
+    need a rate over it throughout keeps its present ``mass``, and the others share the rest."""
     out, free = np.zeros(len(mass)), (mass > 0) & (weights > 0)
     left = float(mass.sum())
     while free.any() and left > 0:
         ask = left * weights / weights[free].sum()
-        over = free & (ask > MOST_RATE * mass)
+        over = free & (ask > scarce * mass)
         if not over.any():
             out[free] = ask[free]
             break
@@ -117,10 +119,12 @@ def reachable(weights: np.ndarray, mass: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rates:
-    """Rates as the start value 1 and the steps taken since: all that differs between documents is their own row."""
+    """Rates as the start value 1 and the steps taken since: all that differs between documents is their own row.
+    ``totals``: the sums of the domains at these rates."""
 
-    total: np.ndarray
     moves: list[np.ndarray]
+    most: float
+    totals: np.ndarray | None = None
 
     def __call__(self, a: np.ndarray) -> np.ndarray:
         """The rates of documents with expected domain tokens ``a``."""
@@ -128,19 +132,19 @@ class Rates:
         share = np.divide(a, size, out=np.zeros_like(a), where=size > 0)
         r = np.ones(len(a))
         for m in self.moves:
-            r = np.clip(r - share @ m, 0.0, MOST_RATE)
+            r = np.clip(r - share @ m, 0.0, self.most)
         return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-4) -> Rates:
-    """Rates r, from 0 to ``MOST_RATE``, of the rows of ``members`` (tokens array<double>: expected tokens by domain) for which the sums
+def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-4, most_rate: float | None = None) -> Rates:
+    """Rates r, from 0 (to ``most_rate``, if given), of the rows of ``members`` (tokens array<double>: expected tokens by domain) for which the sums
     of r * tokens are closest to ``targets``, from r = 1, by projected gradient steps in the metric that weighs a document by
     its tokens (long texts do not move more than short ones).
 
     Each step is one pass that sums, over the partitions, the domain totals at the present rates; the driver sees those sums
     only. A step is as long as the inverse of the largest eigenvalue of the domains' Gram matrix allows.
     """
-    k = len(targets)
+    k, most = len(targets), np.inf if most_rate is None else most_rate
 
     def sums(rates: Rates) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +157,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, toler
                     r = rates(a)
                     out[:k] += a.T @ r
                     # Documents at a bound are not part of the curvature.
-                    out[k:] += (a.T @ (share * ((r > 0) & (r < MOST_RATE))[:, None])).ravel()
+                    out[k:] += (a.T @ (share * ((r > 0) & (r < most))[:, None])).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), type=pa.int32()), pa.array(out)], names=["i", "v"])
 
         got = members.select("tokens").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -162,11 +166,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, toler
             out[row["i"]] = row["v"]
         return out
 
-    rates = Rates(targets, [])
-    for _ in range(steps):
+    rates = Rates([], most)
+    for i in range(steps + 1):
         s = sums(rates)
+        rates.totals = s[:k]
         gap, gram = s[:k] - targets, s[k:].reshape(k, k)
-        if np.abs(gap).max() <= tolerance * max(targets.sum(), 1.0):
+        if i == steps or np.abs(gap).max() <= tolerance * max(targets.sum(), 1.0):
             break
         top = float(np.linalg.eigvalsh((gram + gram.T) / 2).max())
         if top <= 0:
@@ -175,7 +180,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, toler
         scale = np.maximum(np.diag(gram), 1e-9 * top)
         half = gram / np.sqrt(np.outer(scale, scale))
         step = 1.0 / max(float(np.linalg.eigvalsh((half + half.T) / 2).max()), 1e-12)
-        rates = Rates(targets, [*rates.moves, step * gap / scale])
+        rates = Rates([*rates.moves, step * gap / scale], most)
     return rates
 
 
@@ -195,13 +200,14 @@ def memberships(docs: DataFrame, model: Posteriors, id_col: str = "doc_id") -> D
 OUTPUTS = ["n_words", "domain", "posterior", "rate", "copies"]
 
 
-def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
+def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most_rate: float | None = None, scarce: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_words, domain (the likeliest), posterior (its), rate and copies; input columns of
     these names are replaced, all others pass through.
 
     ``weights`` gives each domain's share of all expected words; domains without a weight have 0, and weights are brought to
-    a sum of 1. The budget is the corpus as it is: the targets add up to its number of words. A domain of too few words to
-    reach its share at ``MOST_RATE`` keeps its words, and the others share the rest. copies is the rate rounded
+    a sum of 1. The budget is the corpus as it is: the targets add up to its number of words. Rates have no upper bound unless
+    ``most_rate`` gives one. Only if ``scarce`` is given, a domain that would need a rate over it throughout keeps its words,
+    and the others share the rest. Shares asked and reached are logged, as a warning where they differ. copies is the rate rounded
     up or down by a hash of doc_id, so that its expectation is the rate and a rerun gives the same.
 
     - A null, empty or blank text has no words and no part in the fit: domain null, posterior 0, rate 1.
@@ -216,7 +222,12 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     share = np.array([max(weights.get(n, 0.0), 0.0) for n in names])
     share = share / share.sum() if share.sum() > 0 else np.full(len(names), 1.0 / len(names))
     mass = members.agg(*(F.coalesce(F.sum(F.col("tokens")[i]), F.lit(0.0)) for i in range(len(names)))).first()
-    rates = fit_rates(members, reachable(share, np.array(mass, dtype=float)))
+    mass = np.array(mass, dtype=float)
+    targets = share * mass.sum() if scarce is None else reachable(share, mass, scarce)
+    rates = fit_rates(members, targets, most_rate=most_rate)
+    reached = rates.totals / max(float(mass.sum()), 1.0)
+    level = logging.WARNING if mass.sum() > 0 and np.abs(reached - share).max() > 0.001 else logging.INFO
+    _LOG.log(level, "shares of words by domain, asked and reached: %s", ", ".join(f"{n} {a:.4f} {b:.4f}" for n, a, b in zip(names, share, reached, strict=True)))
 
     # The rates go back to the rows as a function of their texts: no join, no shuffle of texts.
     kept = others(docs, OUTPUTS)
@@ -244,10 +255,10 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     return out.toDF(*given.columns[:width], *OUTPUTS)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most_rate: float | None = None, scarce: float | None = None) -> DataFrame:
     """``docs`` with every row as often as its copies say (see ``document_rates``), its columns unchanged but for those of
     the names that operator writes, which are left out."""
-    got = document_rates(docs, labelled, weights).where("copies > 0")
+    got = document_rates(docs, labelled, weights, most_rate, scarce).where("copies > 0")
     return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("_copy", *OUTPUTS)
 
 

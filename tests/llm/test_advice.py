@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from gleaner.llm import mixing, queries
 
@@ -35,3 +38,25 @@ def test_registered_weights_lower_toxic_and_poor_text(spark, tmp_path):
     docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows if domain[r[0]] != "poor"], "doc_id long, text string, lang string, source string, n_chars long")
     mixed = [r.doc_id for r in pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()]
     assert sum(domain[i] == "toxic" for i in mixed) / len(mixed) < 0.05
+
+
+def reached(docs, model, rows):
+    """Shares of expected words by domain at the rates of ``rows``."""
+    rate = {r.doc_id: r.rate for r in rows}
+    sums = sum(np.array(r.tokens) * rate[r.doc_id] for r in mixing.memberships(docs, model).collect())
+    return dict(zip(model.names, sums / sums.sum(), strict=True))
+
+
+def test_scarce_domains_reach_their_targets(spark, caplog):
+    rows, domain = corpus(2, [("a", 380), ("b", 20)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, d) for i, d in domain.items()], "doc_id long, domain string")
+    weights = {"a": 0.6, "b": 0.4}
+    got = mixing.document_rates(docs, labels, weights).collect()
+    assert max(r.rate for r in got) > mixing.MOST_RATE
+    assert abs(reached(docs, mixing.train(docs, labels), got)["b"] - 0.4) < 0.005
+    caplog.clear()
+    with caplog.at_level(logging.WARNING):
+        capped = mixing.document_rates(docs, labels, weights, most_rate=3.0).collect()
+    assert max(r.rate for r in capped) == 3.0 and mean_rate(capped, domain, "b") > 2.0
+    assert "asked and reached" in caplog.text and "b 0.4000" in caplog.text
