@@ -8,7 +8,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as pipeline
-from gleaner.llm import mixing, queries
+from gleaner.llm import mixing, pii, queries
 
 
 def corpus(seed, parts):
@@ -60,3 +60,24 @@ def test_scarce_domains_reach_their_targets(spark, caplog):
         capped = mixing.document_rates(docs, labels, weights, most_rate=3.0).collect()
     assert max(r.rate for r in capped) == 3.0 and mean_rate(capped, domain, "b") > 2.0
     assert "asked and reached" in caplog.text and "b 0.4000" in caplog.text
+
+
+def test_account_numbers_end_before_upper_case_words_and_digits(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    plain = de.replace(" ", "")
+    texts = {
+        f"IBAN {plain} BIC COBADEFFXXX": [plain],
+        f"{de} EUR": [de],
+        f"{plain} 2024": [plain],
+        f"{plain} At the bank": [plain],
+        f"{de} {gb} OK": [de, gb],
+        f"AT12 {de} 7": [de],
+        f"pay to {plain}, {gb}.": [plain, gb],
+        plain[:-1] + "1 EUR": [],
+        plain + "x": [],
+        "AB12 " * 400 + de: [de],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.text: [r.text[x.start : x.end] for x in r.added_spans if x.kind == "iban"] for r in pii.pii_spans(docs).collect()}
+    assert found == texts
+    assert {r.text for r in pii.redact(docs).collect()} >= {"IBAN [IBAN] BIC COBADEFFXXX", "[IBAN] EUR", "[IBAN] 2024"}
