@@ -7,83 +7,91 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import shingles as S
-from gleaner.llm.common import Scratch, others
+from gleaner.llm.common import Scratch
 from gleaner.llm.components import connected_components
 
 #: Coordinates of a sketch, and how many of them make a band.
 T, R = 128, 4
-#: Bits of two sketches (two a coordinate) that may differ before a pair is passed over: six standard deviations above
-#: what a pair at the threshold shows (about one true pair in 10^9 is lost).
-SIGMAS = 6.0
 #: Rows of a bucket that are compared with as many others at once; a larger bucket is dealt out in blocks of this size.
 BLOCK = 256
+Batches = Iterator[pa.RecordBatch]
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _lists(words: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(words.view(np.int64)))
 
 
-def _sketcher(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketcher(k: int) -> Callable[[Batches], Batches]:
+    """Of each text its set's size, two sums that stand for the set, bands, bitmap and the packed text."""
+
+    def run(batches: Batches) -> Batches:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, hashes = batch.columns
             for i, j, data, off in S.chunks(texts):
-                h, counts = S.word_hashes(data, off)
-                s, n = S.shingle_sets(h, counts, k)
+                s, n = S.shingle_sets(*S.word_hashes(data, off), k)
                 sketch = S.sketches(s, n, T)
-                total = np.concatenate(([S.U(0)], np.cumsum(S.mix(s, 7))))
-                total2 = np.concatenate(([S.U(0)], np.cumsum(S.mix(s, 11))))
                 at = np.concatenate(([0], np.cumsum(n)))
-                k1, k2 = total[at[1:]] - total[at[:-1]], total2[at[1:]] - total2[at[:-1]]
+                sums = [np.concatenate(([S.U(0)], np.cumsum(S.mix(s, seed)))) for seed in (7, 11)]
                 bands = np.zeros((j - i, T // R), dtype=S.U)
                 for r in range(R):
-                    bands += S.mix(sketch[:, r :: R], 31 + r)
+                    bands += S.mix(sketch[:, r::R], 31 + r)
                 bands = S.mix(bands + np.arange(T // R, dtype=S.U))
-                low = np.concatenate((sketch & S.U(1), (sketch >> S.U(1)) & S.U(1)), axis=1).astype(np.uint8)
-                bits = np.packbits(low, axis=1).view(np.int64)
-                has = n > 0
-                fixed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+                words, width = S.bitmaps(s, n)
+                packed = [press.compress(data[a:b].tobytes()) if m else None for a, b, m in zip(off[:-1], off[1:], n, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, j - i),
+                        hashes.slice(i, j - i),
                         pa.array(n),
-                        pa.array(_signed(k1)),
-                        pa.array(_signed(k2)),
-                        fixed(_signed(bands)),
-                        fixed(bits),
-                        pa.array(has),
+                        *(pa.array((c[at[1:]] - c[at[:-1]]).view(np.int64)) for c in sums),
+                        _lists(bands.ravel(), np.arange(j - i + 1) * (T // R)),
+                        _lists(words, np.concatenate(([0], np.cumsum(width)))),
+                        pa.array(packed, type=pa.binary()),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "bands", "bits", "has"],
+                    names=["doc_id", "h", "n", "k1", "k2", "bands", "bits", "z"],
                 )
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole texts, compressed: what a shuffle of candidates carries."""
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=["id", "z"])
+def _can_reach(num: int, den: int) -> Callable[[Batches], Batches]:
+    """Of the pairs (a, b, n, m, x, y: their sizes and bitmaps) those that can have the similarity ``num / den``, exactly bounded."""
 
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
+            x, y = batch.column(4), batch.column(5)
+            flat = [c.flatten().to_numpy().view(S.U) for c in (x, y)]
+            off = [c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py() for c in (x, y)]
+            wide = [np.diff(o) for o in off]
+            keep = np.zeros(len(a), dtype=bool)
+            for p, q in {*zip(wide[0].tolist(), wide[1].tolist(), strict=True)}:
+                at = np.flatnonzero((wide[0] == p) & (wide[1] == q))
+                one, two = (f[o[at][:, None] + np.arange(w)] for f, o, w in zip(flat, off, (p, q), strict=True))
+                both = S.most_in_common(n[at], one, m[at], two)
+                keep[at] = den * both >= num * (n[at] + m[at] - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-def _verifier(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return run
+
+
+def _verifier(k: int, num: int, den: int) -> Callable[[Batches], Batches]:
     """Keeps the pairs (a, b, za, zb) with ``den * |A & B| >= num * |A | B|``, over their full shingle sets."""
 
     def sets(z: list[bytes]) -> list[np.ndarray]:
         open_ = zstandard.ZstdDecompressor()
-        texts = [open_.decompress(x) if x else b"" for x in z]
         out: list[np.ndarray] = []
-        for _, _, data, off in S.chunks(pa.array(texts, type=pa.large_binary())):
+        for _, _, data, off in S.chunks(pa.array([open_.decompress(x) for x in z], type=pa.large_binary())):
             s, n = S.shingle_sets(*S.word_hashes(data, off), k)
             out += np.split(s, np.cumsum(n)[:-1])
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = np.zeros(len(a), dtype=bool)
@@ -92,195 +100,199 @@ def _verifier(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]]
                 one = list(dict.fromkeys(za + zb))
                 made = dict(zip(one, sets(one), strict=True))
                 for i, (x, y) in enumerate(zip(za, zb, strict=True)):
-                    p, q = made[x], made[y]
-                    if len(p) and len(q):
-                        both = len(p) + len(q)
-                        m = np.concatenate((p, q))
-                        m.sort(kind="stable")
-                        same = int((m[1:] == m[:-1]).sum())
-                        keep[at + i] = den * same >= num * (both - same)
+                    m = np.concatenate((made[x], made[y]))
+                    m.sort(kind="stable")
+                    same = int((m[1:] == m[:-1]).sum())
+                    keep[at + i] = den * same >= num * (len(m) - same)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return run
 
 
-def _block_verifier(k: int, num: int, den: int, most: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links between the rows that ask and the other rows of each group ``g`` (rows come sorted by it).
+def _blocks(num: int, den: int) -> Callable[[Batches], Batches]:
+    """Pairs of a row that asks and another row of its group ``g`` (rows come sorted by it) that can be linked, with the most
+    similarity that they can have.
 
-    A pair is tried if its rows are of different components, its sketch bits can belong to a pair at the threshold, and no
-    earlier band of the two agrees (else that band's bucket tries it). Pairs that links found here already join are passed.
+    A pair comes out if its rows are of different components, their sizes and bitmaps allow the similarity, and no
+    earlier band of the two agrees (else that band's bucket has it).
     """
 
-    def group(t: dict) -> list[tuple[int, int]]:
-        asks = t["asks"]
-        qa, qb = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if not len(qa) or not len(qb):
-            return []
-        ids, comp, main, bits, bands = t["id"], t["comp"], t["main"], t["bits"], t["bands"]
-        here = int(np.argmax(bands[qa[0]] == t["key"].view(np.uint64)[qa[0]]))
-        at, to = [], []
-        for x in qa:
-            ok = (comp[qb] != comp[x]) & (main[qb] | (ids[x] < ids[qb]))
-            ok[ok] = np.bitwise_count(bits[qb[ok]] ^ bits[x]).sum(axis=1) <= most
-            if ok.any() and here:
-                ok[ok] = ~(bands[qb[ok], :here] == bands[x, :here]).any(axis=1)
-            y = qb[ok]
-            at.append(np.full(len(y), x))
-            to.append(y)
-        at, to = np.concatenate(at), np.concatenate(to)
-        if not len(at):
-            return []
-        used = np.unique(np.concatenate((at, to)))
-        open_ = zstandard.ZstdDecompressor()
-        texts = [open_.decompress(t["z"][i].as_py()) for i in used]
-        sets: dict[int, np.ndarray] = {}
-        n = 0
-        for _, _, data, off in S.chunks(pa.array(texts, type=pa.large_binary())):
-            s, sizes = S.shingle_sets(*S.word_hashes(data, off), k)
-            for x in np.split(s, np.cumsum(sizes)[:-1]):
-                sets[used[n]] = x
-                n += 1
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        found = []
-        for x, y in zip(at, to, strict=True):
-            p, q = sets[x], sets[y]
-            if den * min(len(p), len(q)) < num * max(len(p), len(q)):
-                continue
-            cx, cy = find(int(comp[x])), find(int(comp[y]))
-            if cx == cy:
-                continue
-            m = np.concatenate((p, q))
-            m.sort(kind="stable")
-            same = int((m[1:] == m[:-1]).sum())
-            if den * same >= num * (len(m) - same):
-                root[max(cx, cy)] = min(cx, cy)
-                found.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
-        return found
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        qa, qb = np.flatnonzero(t["asks"]), np.flatnonzero(~t["asks"])
+        ids, comp, main, n, bits, bands = (t[c] for c in ("id", "comp", "main", "n", "bits", "bands"))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(qa) and len(qb):
+            here = int(np.argmax(bands[qa[0]] == t["key"].view(S.U)[qa[0]]))
+            width = np.array([len(x) for x in bits])
+            rows = {w: qb[width[qb] == w] for w in np.unique(width[qb])}
+            maps = {w: np.stack([bits[i] for i in r]) for w, r in rows.items()}
+            for x in qa:
+                for w, r in rows.items():
+                    ok = (comp[r] != comp[x]) & (main[r] | (ids[x] < ids[r])) & (den * np.minimum(n[r], n[x]) >= num * np.maximum(n[r], n[x]))
+                    if ok.any() and here:
+                        ok[ok] = ~(bands[r[ok], :here] == bands[x, :here]).any(axis=1)
+                    if not ok.any():
+                        continue
+                    y = r[ok]
+                    both = S.most_in_common(n[x], bits[x], n[y], maps[w][ok])
+                    can = den * both >= num * (n[x] + n[y] - both)
+                    y, both = y[can], both[can]
+                    out.append((np.full(len(y), ids[x]), ids[y], both / (n[x] + n[y] - both)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def run(batches: Batches) -> Batches:
         held: list[pa.RecordBatch] = []
 
-        def flush(last: bool) -> list[tuple[int, int]]:
+        def flush(last: bool) -> Batches:
             """Works off the whole groups that are held; the last group may go on in the next batch."""
             table = pa.Table.from_batches(held).combine_chunks()
             n = table.num_rows
             g = table["g"].to_numpy()
-            cut = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [n])) if n else np.zeros(1, dtype=np.int64)
+            cut = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [n]))
             end = len(cut) - 1 if last else len(cut) - 2
             held.clear()
             if not last:
                 held.extend(table.slice(cut[-2]).to_batches())
-            cols = {c: table[c].to_numpy(zero_copy_only=False) for c in ("asks", "key", "id", "comp", "main")}
-            for c, w in (("bits", 2 * T // 64), ("bands", T // R)):
-                # Unsigned: numpy counts the bits of a signed number's absolute value.
-                cols[c] = table[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, w)
-            z = table["z"].combine_chunks()
-            out = []
+            cols = {c: table[c].to_numpy(zero_copy_only=False) for c in ("asks", "key", "id", "comp", "main", "n")}
+            # Unsigned: numpy counts the bits of a signed number's absolute value.
+            cols["bands"] = table["bands"].combine_chunks().flatten().to_numpy().view(S.U).reshape(n, T // R)
+            bits = table["bits"].combine_chunks()
+            flat, off = bits.flatten().to_numpy().view(S.U), bits.offsets.to_numpy() - bits.offsets[0].as_py()
             for a, b in zip(cut[:end], cut[1 : end + 1], strict=True):
-                out += group({c: v[a:b] for c, v in cols.items()} | {"z": z.slice(a, b - a)})
-            return out
+                maps = np.split(flat[off[a] : off[b]], off[a + 1 : b] - off[a])
+                found = group({c: v[a:b] for c, v in cols.items()} | {"bits": maps})
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "most"])
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                yield _pairs(flush(False))
+                yield from flush(False)
         if held:
-            yield _pairs(flush(True))
+            yield from flush(True)
 
     return run
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Groups texts whose sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more.
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id =
-    component_id), one row for each row of ``docs`` (doc_id, text; other columns are not read).
-
-    - A null, empty or blank text has the empty set: n_shingles 0, linked with nothing, its own component, kept.
-    - A text of fewer than ``k`` words has its whole word sequence as its one shingle.
-    - A null doc_id stands for nothing: its row is kept unless a row with a doc_id has the same set.
-    - Rows of equal sets form one class, of which the smallest doc_id stands for all; classes of any size meet only in
-      a map-side-combined minimum. Repeated rows give repeated rows. An empty table gives an empty result.
-
-    Classes are sketched with ``T`` coordinates that are all filled, cut in bands of ``R``. A pair at similarity 0.8 shares
-    none of the 32 bands once in 2 * 10^7 pairs. In each band bucket first every class is compared with the smallest (a star,
-    not all pairs). Then, where a bucket still holds several components, every class outside the bucket's largest component
-    is compared with every class of another component, in blocks, inside a task that returns links only, after passing over
-    the pairs whose sketch bits can't belong to a pair at the threshold. All compared pairs are confirmed on full shingle sets. There is no cap on buckets or pairs.
-    """
+def _grouped(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id and kept of each row of ``docs``."""
     scratch = Scratch(spark, "near")
-    share = num / den
-    most = 2 * T * ((1 - share) / 2) + SIGMAS * (T * ((1 - share) * 1.5 - (1 - share) ** 2)) ** 0.5
-    docs = docs.select("doc_id", "text")
-    made = docs.mapInArrow(
-        _sketcher(k), "doc_id long, n long, k1 long, k2 long, bands array<long>, bits array<long>, has boolean"
-    )
-    made = scratch.keep(made, "sketches")
-
-    classes = scratch.keep(made.where("has").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = made.where("has").join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
-    reps = reps.dropDuplicates(["doc_id"])
-    in_band = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    kind = dict(docs.dtypes)["doc_id"]
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    made = given.mapInArrow(_sketcher(k), f"doc_id {kind}, h long, n long, k1 long, k2 long, bands array<long>, bits array<long>, z binary")
+    # The number of a row is drawn once, as it is written here; the least of a class's rows is the class's id and stands for it.
+    made = scratch.keep(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    some = made.where("n > 0")
+    classes = scratch.keep(some.groupBy("k1", "k2").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep")), "classes")
+    shapes = some.select(F.col("row").alias("id"), "n", "bits", "bands").join(classes.select("id"), "id", "left_semi")
+    shapes = scratch.keep(shapes, "shapes")
+
+    in_band = shapes.select("id", F.explode("bands").alias("key"))
     hubs = in_band.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # Sums of hot keys are written before they are joined: a join whose two sides are dealt out for it can be split by Spark.
     hubs = scratch.keep(hubs.select("key", "hub"), "hubs")
     met = scratch.keep(in_band.join(hubs, "key").select("key", "id", "hub"), "met")
 
-    candidates = met.select("id").distinct()
-    texts = docs.mapInArrow(_pack, "id long, z binary")
-    texts = scratch.keep(texts.join(candidates, "id", "left_semi"), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (a, b)."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = scratch.keep(some.select(F.col("row").alias("id"), "z").join(ends, "id", "left_semi"), f"texts-{name}")
         with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
         with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-        return with_b.select("a", "b", "za", "zb").mapInArrow(_verifier(k, num, den), "a long, b long")
+        got = scratch.keep(with_b.select("a", "b", "za", "zb").mapInArrow(_verifier(k, num, den), "a long, b long"), f"links-{name}")
+        scratch.drop(f"texts-{name}")
+        return got
 
+    # First every member of a bucket meets the one of the least id: a star, not all pairs.
     star = met.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.keep(verified(star), "star")
-    comp = scratch.keep(connected_components(links, scratch, "cc1"), "comp1")
-
-    of = met.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    parts = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = (
-        parts.groupBy("key")
-        .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("comps"))
-        .where("comps > 1")
-        .select("key", F.col("top.comp").alias("main"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).alias("na"), F.ceil(F.col("size") / BLOCK).alias("nb"))
-    )
-    mixed = scratch.keep(mixed, "mixed")
-    live = of.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "bits", "bands"), "id").join(texts, "id")
-    spread = lambda n, own: F.when(F.lit(own), F.array(F.pmod(F.xxhash64("id"), F.col(n)))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
-    meet = lambda df, asks: (
-        df.withColumn("i", F.explode(spread("na", asks)))
-        .withColumn("j", F.explode(spread("nb", not asks)))
-        .select(F.xxhash64("key", "i", "j").alias("g"), F.lit(asks).alias("asks"), "key", "id", "comp", (F.col("comp") == F.col("main")).alias("main"), "bits", "bands", "z")
-    )
-    live = meet(live.where("comp <> main"), True).unionByName(meet(live, False))
+    star = star.join(shapes.select(F.col("id").alias("a"), "n", F.col("bits").alias("x")), "a")
+    star = star.join(shapes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    star = star.where(f"{den} * least(n, m) >= {num} * greatest(n, m)").select("a", "b", "n", "m", "x", "y")
+    star = scratch.keep(star.mapInArrow(_can_reach(num, den), "a long, b long"), "star")
+    links = verified(star, "star")
+    comp = scratch.keep(connected_components(links, scratch, "cc-star"), "comp-star")
+
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    live = live.repartition(parts_n, "g").sortWithinPartitions("g")
-    more = scratch.keep(live.mapInArrow(_block_verifier(k, num, den, most), "a long, b long").distinct(), "rest")
-    comp = scratch.keep(connected_components(links.unionByName(more), scratch, "cc2"), "comp2")
 
-    groups = classes.join(comp, classes["rep"] == comp["id"], "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
+    def rest(comp: DataFrame, tried: DataFrame, name: str) -> DataFrame:
+        """(a, b, most): what may be linked yet within the buckets of several components, without the pairs already tried."""
+        of = met.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        parts = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        mixed = (
+            parts.groupBy("key")
+            .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("comps"))
+            .where("comps > 1")
+            .select("key", F.col("top.comp").alias("main"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).alias("na"), F.ceil(F.col("size") / BLOCK).alias("nb"))
+        )
+        mixed = scratch.keep(mixed, f"mixed-{name}")
+        live = of.join(mixed, "key").join(shapes, "id")
+        spread = lambda n, own: F.when(F.lit(own), F.array(F.pmod(F.xxhash64("id"), F.col(n)))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
+        meet = lambda df, asks: (
+            df.withColumn("i", F.explode(spread("na", asks)))
+            .withColumn("j", F.explode(spread("nb", not asks)))
+            .select(F.xxhash64("key", "i", "j").alias("g"), F.lit(asks).alias("asks"), "key", "id", "comp", (F.col("comp") == F.col("main")).alias("main"), "n", "bits", "bands")
+        )
+        live = meet(live.where("comp <> main"), True).unionByName(meet(live, False))
+        live = live.repartition(parts_n, "g").sortWithinPartitions("g")
+        found = live.mapInArrow(_blocks(num, den), "a long, b long, most double")
+        tried = tried.select(F.col("a").alias("low"), F.col("b").alias("high"))
+        return found.join(tried, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
+
+    def joined_by(comp: DataFrame, links: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The components and links with those among ``pairs``."""
+        found = None if pairs.isEmpty() else verified(pairs, name)
+        if found is None or found.isEmpty():
+            return comp, links
+        links = links.unionByName(found)
+        return scratch.keep(connected_components(links, scratch, f"cc-{name}"), f"comp-{name}"), links
+
+    # Then every class outside its bucket's largest component meets the likeliest partner of another component, and last all
+    # that are still of different components, with sizes and bitmaps only: texts go to the pairs that these can't rule out.
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    nearest = rest(comp, star, "nearest").groupBy("a").agg(F.max_by("b", F.struct("most", -F.col("b"))).alias("b"))
+    nearest = scratch.keep(ordered(nearest), "nearest")
+    if not nearest.isEmpty():
+        comp, links = joined_by(comp, links, nearest, "nearest")
+        left = ordered(rest(comp, star.unionByName(nearest), "rest"))
+        comp, links = joined_by(comp, links, scratch.keep(left, "rest"), "rest")
+
+    least = comp.join(classes, "id").groupBy("comp").agg(F.min("rep").alias("least"))
+    named = scratch.keep(comp.join(scratch.keep(least, "least"), "comp").select("id", "least"), "named")
+    groups = classes.join(named, "id", "left").select("k1", "k2", F.coalesce("least", "rep").alias("least"))
     groups = scratch.keep(groups, "groups")
-    out = made.select("doc_id", "n", "k1", "k2", "has").join(groups, ["k1", "k2"], "left")
-    component = F.when(F.col("has"), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = made.select("doc_id", "h", "n", "k1", "k2").join(groups, ["k1", "k2"], "left")
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Groups texts whose sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more.
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id =
+    component_id), one row for each row of ``docs`` (doc_id of any ordered type, text; other columns are not read).
+
+    - A null, empty or blank text has the empty set: n_shingles 0, linked with nothing, its own component, kept.
+    - A text of fewer than ``k`` words has its whole word sequence as its one shingle.
+    - One doc_id with several texts: each row is in the group of its own text.
+    - A null doc_id names no group: its row is kept unless its group has a row with a doc_id.
+    - Rows of equal sets form one class, which the smallest doc_id names; classes of any size meet only in a
+      map-side-combined minimum. Repeated rows give repeated rows. An empty table gives an empty result.
+    - Words and shingles are compared by 64-bit hashes, sets by two sums of 64 bits; n_shingles counts distinct hashes.
+
+    Classes are sketched with ``T`` coordinates that are all filled, cut in bands of ``R``. A pair at similarity 0.8 shares
+    none of the 32 bands once in 2 * 10^7 pairs; of the pairs that share one none is passed over but by an exact bound on
+    their similarity, from sizes and bitmaps of the full sets. In each band bucket first every class is compared with the smallest (a star,
+    not all pairs). Where a bucket still holds several components, every class outside the bucket's largest is then
+    compared in blocks, by size and bitmap, with every class of another component: first its likeliest partner is
+    verified, then, over what is left, all that the bound allows. All links are confirmed on full shingle sets. There is
+    no cap on buckets or pairs.
+    """
+    return _grouped(spark, docs, k, num, den).drop("h")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, all columns unchanged. Rows that repeat a
-    kept doc_id stay, as do those without one."""
-    kept = near_duplicates(spark, docs, k, num, den).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*others(docs, [])).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that are kept of their near-duplicate group, all columns unchanged. Rows that repeat a kept row's doc_id and
+    text stay, as do those without a doc_id."""
+    kept = _grouped(spark, docs, k, num, den).where("kept and doc_id is not null").select("doc_id", "h").distinct()
+    text_hash: Column = F.xxhash64(docs["text"])
+    same = (docs["doc_id"] == kept["doc_id"]) & (text_hash == kept["h"])
+    return docs.join(kept, same, "left_semi").unionByName(docs.where("doc_id is null"))

@@ -152,3 +152,35 @@ def sketches(s: np.ndarray, sizes: np.ndarray, t: int) -> np.ndarray:
         full[seen] |= take
         todo[seen] = ~full[seen].all(axis=1)
     return out
+
+
+#: Words of 64 bits in the bitmap of a set at most; larger sets share bits, which weakens the bound but not its truth.
+MOST_WORDS = 512
+
+
+def bitmaps(s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of 64 bits, row after row; their number in each row): the bit of every element's hash in a bitmap of a power of two
+    words, of two bits an element or more up to ``MOST_WORDS``. A row without elements has one word."""
+    need = np.maximum(np.ceil(2 * sizes / 64), 1)
+    width = np.minimum(2 ** np.ceil(np.log2(need)).astype(np.int64), MOST_WORDS)
+    first = np.concatenate(([0], np.cumsum(width))) * 64
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    flags = np.zeros(int(first[-1]), dtype=bool)
+    flags[first[row] + (mix(s, 5) & (width[row] * 64 - 1).astype(U)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(U), width
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (last axis) brought to ``width`` words: the bits of the same sets in a smaller bitmap."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] | words[..., half:]
+    return words
+
+
+def most_in_common(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most elements that sets of ``n`` and ``m`` elements with bitmaps ``x`` and ``y`` can share. Never less than what they do
+    share: each bit that only one bitmap has stands for at least one element that the other set lacks."""
+    width = min(x.shape[-1], y.shape[-1])
+    x, y = folded(x, width), folded(y, width)
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
