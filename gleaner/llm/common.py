@@ -47,25 +47,26 @@ def cut_sizes(n: Column) -> Column:
     return F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
 
 
-def running_sums(sizes: Column) -> Column:
-    """For an array of ints the sums of all elements before each, in one row and without Python. Arrays that grow element by
-    element are copied each time, so they grow in parts of the root of the length only."""
+def running(values: Column, combine: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """For an array of ints (none negative) what ``combine``, a sum or maximum from 0 on, makes of all elements before each; in one row
+    and without Python. Arrays that grow element by element are copied each time, so they grow in parts of the root of the
+    length only."""
 
     def grown(part: Column, start: Column) -> Column:
         zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        step = lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
         return F.aggregate(part, zero, step, lambda a: a["out"])
 
     def whole(s: Column) -> Column:
         def parts(c: Column) -> Column:
             cut = lambda i: F.slice(s, i * c + 1, c)
             index = F.sequence(F.lit(0), F.ceil(F.size(s) / c).cast("int") - 1)
-            total = F.transform(index, lambda i: F.aggregate(cut(i), F.lit(0), lambda a, x: a + x))
+            total = F.transform(index, lambda i: F.aggregate(cut(i), F.lit(0), lambda a, x: combine(a, x)))
             return let(grown(total, F.lit(0)), lambda starts: F.flatten(F.transform(starts, lambda at, i: grown(cut(i), at))))
 
         return F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(let(cut_sizes(F.size(s)), parts))
 
-    return let(sizes, whole)
+    return let(values, whole)
 
 
 _batches = threading.Lock()
