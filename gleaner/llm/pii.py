@@ -98,7 +98,8 @@ def _n_digits(low: int, high: int) -> Callable[[Column], Column]:
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. ``needs``: a literal without which a text can't match. ``good`` and ``bad``: patterns of
+    """A kind of personal data. ``needs``: literals, one of which a text must have to match. ``words``: literals, one of which every
+    match of ``good`` has: a kind whose own score is too low needs one of them in the text (in lower case). ``good`` and ``bad``: patterns of
     context words (lower case) that add to the score or take from it. ``parts``: (off, size) of the spans within a confirmed
     match, where they may be less than the whole of it."""
 
@@ -107,9 +108,10 @@ class Kind:
     check: Callable[[Column], Column]
     score: float
     base: bool = False
-    needs: str = ""
+    needs: tuple[str, ...] = ()
     good: str = ""
     bad: str = ""
+    words: tuple[str, ...] = ()
     lift: float = field(default=0.4)
     parts: Callable[[Column], Column] | None = None
 
@@ -119,24 +121,24 @@ _X = "[A-Za-z0-9._%+-]"
 #: begins where a run of its first class begins, or where the match before it ended, so runs are scanned once and without
 #: backtracking, however long they are. Runs of digits too short for a card are not proposed, as its check drops them.
 BASE = (
-    Kind("email", rf"(?:\G|(?<!{_X})){_X}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.9, True, "@", "e-?mail|contact|write", "example"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _octets, 0.7, True, ".", "\\bip\\b|address|host|server", "version|release"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", lambda m: _n_digits(16, 19)(m) & _luhn(m), 0.8, True, "", "card|visa|credit|payment", "order|serial"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _n_digits(8, 15), 0.7, True, "+", "phone|tel|call|mobile|fax", ""),
+    Kind("email", rf"(?:\G|(?<!{_X})){_X}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.9, True, ("@",), "e-?mail|contact|write", "example"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _octets, 0.7, True, (".",), "\\bip\\b|address|host|server", "version|release"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", lambda m: _n_digits(16, 19)(m) & _luhn(m), 0.8, True, (), "card|visa|credit|payment", "order|serial"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _n_digits(8, 15), 0.7, True, ("+",), "phone|tel|call|mobile|fax", ""),
 )
 #: Kinds that the method adds. An account number is sure by its checksum, a key by its form; the others need context.
 ADDED = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+", lambda m: F.length(m) >= 15, 0.7, good="iban|account|bank", parts=_accounts),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, needs="-", good="ssn|social security", bad="order|part"),
-    Kind("card_short", r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])", _luhn, 0.3, good="card|visa|amex|credit", bad="order|serial|isbn"),
-    Kind("key", r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_])", lambda m: F.lit(True), 0.8, good="key|token|secret"),
-    Kind("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+", _random, 0.3, good=r"secret|token|passw|\bpwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|\bauth", bad="commit|checksum|digest|sha-?256|md5"),
-    Kind("phone_local", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", lambda m: F.lit(True), 0.3, good="phone|tel\\b|call|mobile|fax", bad="order|part|serial"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, needs=("-",), good="ssn|social security", bad="order|part", words=("ssn", "social")),
+    Kind("card_short", r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])", _luhn, 0.3, good="card|visa|amex|credit", bad="order|serial|isbn", words=("card", "visa", "amex", "credit")),
+    Kind("key", r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_])", lambda m: F.lit(True), 0.8, needs=("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ"), good="key|token|secret"),
+    Kind("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+", _random, 0.3, good=r"secret|token|passw|\bpwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|\bauth", bad="commit|checksum|digest|sha-?256|md5", words=("secret", "token", "passw", "pwd", "key", "credential", "bearer", "auth")),
+    Kind("phone_local", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", lambda m: F.lit(True), 0.3, good="phone|tel\\b|call|mobile|fax", bad="order|part|serial", words=("phone", "tel", "call", "mobile", "fax")),
 )
 
 
-def _proposed(text: Column, kind: Kind) -> Column:
-    """The confirmed spans of a kind, in order, with scores."""
+def _proposed(text: Column, low: Column, kind: Kind) -> Column:
+    """The confirmed spans of a kind in a text (``low``: in lower case), in order, with scores."""
     none = F.array().cast(SPAN)
 
     def placed(found: Column) -> Column:
@@ -169,7 +171,13 @@ def _proposed(text: Column, kind: Kind) -> Column:
         return let(F.split(text, kind.pattern, -1), with_pieces)
 
     found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
-    return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(none) if kind.needs else found
+    for has, literals in ((text, kind.needs), (low, kind.words)):
+        if literals:
+            some = F.contains(has, F.lit(literals[0]))
+            for x in literals[1:]:
+                some |= F.contains(has, F.lit(x))
+            found = F.when(some, found).otherwise(none)
+    return found
 
 
 def _around(z: Column, i: Column) -> Column:
@@ -200,9 +208,9 @@ def find_spans(text: Column) -> tuple[Column, Column]:
     """(base spans, added spans) of a text: arrays of (kind, start, end, score) in code points, ends exclusive, by kind and
     start. Added spans are those of a sufficient score; they may overlap base spans."""
     text = F.coalesce(text, F.lit(""))
-    base = F.concat(*(_proposed(text, k) for k in BASE))
-    added = F.filter(F.concat(*(_proposed(text, k) for k in ADDED)), lambda x: x["score"] >= LEAST_SCORE)
-    return base, added
+    base = F.concat(*(_proposed(text, text, k) for k in BASE))
+    added = let(F.lower(text), lambda low: F.concat(*(_proposed(text, low, k) for k in ADDED)))
+    return base, F.filter(added, lambda x: x["score"] >= LEAST_SCORE)
 
 
 def _apart(added: Column, base: Column) -> Column:
