@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import bpe, mixing, near_dedup, pii, quality_rules
-from gleaner.llm.common import Scratch
+from gleaner.llm.common import Scratch, released
 from gleaner.llm.queries import DOMAIN_WEIGHTS
 
-#: The quality stage leaves hardly any poor text, and repeating that little until it has its share would fill the corpus with
-#: it: a domain that would need a rate over this throughout keeps its words in the mixing stage (and that is logged).
-SCARCE = 4.0
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates towards the target weights say."""
-    return mixing.mix(docs.select(*COLUMNS), mixing.labelled_domains(_labels(spark, sf_dir)), DOMAIN_WEIGHTS, scarce=SCARCE).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), mixing.labelled_domains(_labels(spark, sf_dir)), DOMAIN_WEIGHTS).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +66,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        # What a stage's operator wrote for itself, and the table before, are no longer needed once its result is written.
+        with released():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)

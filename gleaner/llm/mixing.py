@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,53 +11,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, others
+from gleaner.llm.common import Scratch, free_name, others
 
 #: Labelled rows that the domain classifier learns from at most, the first by hash of their id.
 TRAIN_ROWS = 20_000
 #: Buckets of the hashed words of a domain.
-BUCKETS = 1 << 14
-DOMAINS = 32
-SMOOTH = 1.0
+BUCKETS = 1 << 16
+#: More domains than this are refused: the model holds a number for each telling bucket and domain.
+MOST_DOMAINS = 1_000
+SMOOTH = 0.5
+#: A bucket tells domains apart from this chi-square on (and two more for each domain beyond the second); all others are one.
+TELLING = 40.0
 #: A word's evidence counts this much: words of one text are far from independent.
-TEMPER = 0.05
-STEPS = 40
+TEMPER = 0.5
+#: Targets count as met within this share of all words.
+TOLERANCE = 1e-3
+#: Gradient steps after which a fit that has neither met its targets nor come to rest raises an error.
+MOST_STEPS = 200
 #: A limit on rates for callers that want one (the usual limit on repeated epochs); without one rates have no upper bound.
 MOST_RATE = 4.0
 _LOG = logging.getLogger(__name__)
-_BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 
 
-def _word_buckets(text: str) -> tuple[np.ndarray, int]:
-    """(hashed words, number of words) of a whole text."""
-    from gleaner.llm.shingles import chunks, word_hashes
+def _distinct_buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct hashed words of each row, and the number of words of each row."""
+    from gleaner.llm.shingles import word_hashes
 
-    for _, _, data, off in chunks(pa.array([text.encode()], type=pa.large_binary())):
-        h, n = word_hashes(data, off)
-        return (h % np.uint64(BUCKETS)).astype(np.int64), int(n[0])
-    return np.zeros(0, dtype=np.int64), 0
+    h, n = word_hashes(data, off)
+    row = np.repeat(np.arange(len(off) - 1), n)
+    one = np.unique(row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
+    return one // BUCKETS, one % BUCKETS, n
 
 
 @dataclass
 class Posteriors:
-    """A multinomial classifier of domains over hashed words, with tempered evidence so that memberships stay soft."""
+    """A multinomial classifier of domains over the distinct hashed words of a text, with tempered evidence.
+
+    Buckets that tell the domains apart have a probability of their own in each domain; all others share one, so that the
+    chance differences of rare words do not add up.
+    """
 
     names: list[str]
     log_prior: np.ndarray
-    log_p: np.ndarray  # BUCKETS x domains
+    place: np.ndarray  # bucket -> row of log_p; row 0 is that of all other buckets
+    log_p: np.ndarray  # (telling buckets + 1) x domains, as ratios to the whole sample
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(posterior of each domain, number of words) of each text."""
-        from gleaner.llm.shingles import chunks, word_hashes
+        from gleaner.llm.shingles import chunks
 
         post, sizes = [], []
         for i, j, data, off in chunks(texts):
-            h, n = word_hashes(data, off)
-            row = np.repeat(np.arange(j - i), n)
+            row, bucket, n = _distinct_buckets(data, off)
+            at = self.place[bucket]
             like = np.zeros((j - i, len(self.names)))
-            b = (h % np.uint64(BUCKETS)).astype(np.int64)
             for k in range(len(self.names)):
-                like[:, k] = np.bincount(row, weights=self.log_p[b, k], minlength=j - i)
+                like[:, k] = np.bincount(row, weights=self.log_p[at, k], minlength=j - i)
             like = self.log_prior + TEMPER * like
             like = np.exp(like - like.max(axis=1, keepdims=True))
             post.append(like / like.sum(axis=1, keepdims=True))
@@ -69,26 +77,33 @@ class Posteriors:
 def train(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Posteriors:
     """Learns the domains of ``labelled`` (doc_id, domain) from the texts of ``docs``, from at most ``train_rows`` labelled rows.
 
-    Null labels are left out; of several labels of one id the first by name counts; the ``DOMAINS`` most frequent domains are
-    learned. Without any labelled row there is the one domain "all".
+    Null labels are left out; of several labels of one id the first by name counts; every domain of the sample is learned
+    (over ``MOST_DOMAINS`` of them raise ValueError). Without any labelled row there is the one domain "all".
     """
     known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sizes = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()
+    sizes = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
     names = sorted(r["domain"] for r in sizes)
+    if len(names) > MOST_DOMAINS:
+        raise ValueError(f"{len(names)} domains, more than {MOST_DOMAINS}")
     if not names:
-        return Posteriors(["all"], np.zeros(1), np.zeros((BUCKETS, 1)))
+        return Posteriors(["all"], np.zeros(1), np.zeros(BUCKETS, dtype=np.int32), np.zeros((1, 1)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "domain")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {n: np.zeros(BUCKETS, dtype=np.int64) for n in names}
+        from gleaner.llm.shingles import chunks
+
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, domain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if domain in sums:
-                    sums[domain] += np.bincount(_word_buckets(text or "")[0], minlength=BUCKETS)
-        for n, c in sums.items():
+            domain = np.array(batch.column(1).to_pylist(), dtype=object)
+            for i, j, data, off in chunks(batch.column(0)):
+                row, bucket, _ = _distinct_buckets(data, off)
+                of = domain[i:j][row]
+                for d in set(domain[i:j]):
+                    sums[d] = sums.get(d, 0) + np.bincount(bucket[of == d], minlength=BUCKETS)
+        for d, c in sums.items():
             some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([n] * len(some), type=pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some])], names=["domain", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(some), type=pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["domain", "bucket", "n"])
 
     table = rows.mapInArrow(count, "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
     c = np.zeros((BUCKETS, len(names)))
@@ -97,91 +112,111 @@ def train(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) ->
         c[b[d == name], k] = n[d == name]
     many = {r["domain"]: r["n"] for r in sizes}
     prior = np.array([many[x] for x in names], dtype=float)
-    return Posteriors(names, np.log(prior / prior.sum()), np.log((c + SMOOTH) / (c.sum(axis=0) + SMOOTH * BUCKETS)))
-
-
-def reachable(weights: np.ndarray, mass: np.ndarray, scarce: float = MOST_RATE) -> np.ndarray:
-    """Targets of the domains that add up to ``mass.sum()`` by ``weights``, for callers that give ``scarce``: a domain that would
-    need a rate over it throughout keeps its present ``mass``, and the others share the rest."""
-    out, free = np.zeros(len(mass)), (mass > 0) & (weights > 0)
-    left = float(mass.sum())
-    while free.any() and left > 0:
-        ask = left * weights / weights[free].sum()
-        over = free & (ask > scarce * mass)
-        if not over.any():
-            out[free] = ask[free]
-            break
-        out[over] = mass[over]
-        left -= float(out[over].sum())
-        free &= ~over
-    return out
+    return Posteriors(names, np.log(prior / prior.sum()), *_evidence(c))
+
+
+def _evidence(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``place`` and ``log_p`` of a classifier by the counts of texts with each bucket (rows) in each domain (columns)."""
+    size, of = c.sum(axis=0), c.sum(axis=1)
+    want = np.outer(of, size / max(size.sum(), 1.0))
+    chi = np.divide((c - want) ** 2, want, out=np.zeros_like(c), where=want > 0).sum(axis=1)
+    telling = np.flatnonzero(chi > TELLING + 2 * max(c.shape[1] - 2, 0))
+    place = np.zeros(len(c), dtype=np.int32)
+    place[telling] = np.arange(1, len(telling) + 1)
+    rest, rest_of = size - c[telling].sum(axis=0), of.sum() - of[telling].sum()
+    other = np.log((rest + 1) / (size + 1)) - np.log((rest_of + 1) / (of.sum() + 1))
+    own = np.log((c[telling] + SMOOTH) / (size + SMOOTH * (len(telling) + 1))) - np.log(of[telling, None] / max(of.sum(), 1.0))
+    return place, np.concatenate((other[None, :], own))
 
 
 @dataclass
 class Rates:
-    """Rates as the start value 1 and the steps taken since: all that differs between documents is their own row.
-    ``totals``: the sums of the domains at these rates."""
+    """Rates as the start value 1 and the steps taken since: all that differs between documents is their own row. ``totals``: the sums
+    of the domains at these rates; ``met``: whether they are within the tolerance of the targets."""
 
     moves: list[np.ndarray]
     most: float
     totals: np.ndarray | None = None
+    met: bool = False
 
     def __call__(self, a: np.ndarray) -> np.ndarray:
         """The rates of documents with expected domain tokens ``a``."""
-        size = a.sum(axis=1, keepdims=True)
-        share = np.divide(a, size, out=np.zeros_like(a), where=size > 0)
-        r = np.ones(len(a))
+        share, r = _shares(a), np.ones(len(a))
         for m in self.moves:
-            r = np.clip(r - share @ m, 0.0, self.most)
+            r = _moved(r, share, m, self.most)
         return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-4, most_rate: float | None = None) -> Rates:
-    """Rates r, from 0 (to ``most_rate``, if given), of the rows of ``members`` (tokens array<double>: expected tokens by domain) for which the sums
-    of r * tokens are closest to ``targets``, from r = 1, by projected gradient steps in the metric that weighs a document by
-    its tokens (long texts do not move more than short ones).
+def _shares(a: np.ndarray) -> np.ndarray:
+    size = a.sum(axis=1, keepdims=True)
+    return np.divide(a, size, out=np.zeros_like(a), where=size > 0)
+
+
+def _moved(r: np.ndarray, share: np.ndarray, move: np.ndarray, most: float) -> np.ndarray:
+    return np.clip(r - share @ move, 0.0, most)
 
-    Each step is one pass that sums, over the partitions, the domain totals at the present rates; the driver sees those sums
-    only. A step is as long as the inverse of the largest eigenvalue of the domains' Gram matrix allows.
+
+def fit_rates(members: DataFrame, targets: np.ndarray, tolerance: float = TOLERANCE, most_rate: float | None = None, most_steps: int = MOST_STEPS) -> Rates:
+    """Rates r, from 0 (to ``most_rate``, if given), of the rows of ``members`` (tokens array<double>: expected tokens by domain) for which the sums
+    of r * tokens are closest to ``targets`` by squares, from r = 1, by projected gradient steps in the metric that weighs a
+    document by its tokens (long texts do not move more than short ones).
+
+    Each step is one pass that sums, over the partitions, the domain totals at several lengths of step at once; the driver
+    sees those sums only and takes the best. The shortest length, the inverse of the largest eigenvalue of the domains' Gram
+    matrix, always comes closer; the others go further along the gradient, or along it as the Gram matrix of the documents
+    that are at no bound turns it. The fit ends when the targets are met within ``tolerance`` of their sum, or when steps no
+    longer come closer (then the rates are the closest there are: a target that can't be reached); a fit that does neither
+    in ``most_steps`` raises RuntimeError.
     """
     k, most = len(targets), np.inf if most_rate is None else most_rate
 
-    def sums(rates: Rates) -> np.ndarray:
+    def sums(before: list[np.ndarray], tries: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k + k * k)
+            out = np.zeros((len(tries), k + k * k))
+            whole = np.zeros((k, k))
             for batch in batches:
                 if batch.num_rows:
                     a = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, k)
-                    size = a.sum(axis=1, keepdims=True)
-                    share = np.divide(a, size, out=np.zeros_like(a), where=size > 0)
-                    r = rates(a)
-                    out[:k] += a.T @ r
-                    # Documents at a bound are not part of the curvature.
-                    out[k:] += (a.T @ (share * ((r > 0) & (r < most))[:, None])).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), type=pa.int32()), pa.array(out)], names=["i", "v"])
+                    share, r = _shares(a), Rates(before, most)(a)
+                    whole += a.T @ share
+                    for i, m in enumerate(tries):
+                        at = _moved(r, share, m, most)
+                        out[i, :k] += a.T @ at
+                        # Documents at a bound are not part of the curvature.
+                        out[i, k:] += (a.T @ (share * ((at > 0) & (at < most))[:, None])).ravel()
+            flat = np.concatenate((out.ravel(), whole.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), type=pa.int32()), pa.array(flat)], names=["i", "v"])
 
         got = members.select("tokens").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(k + k * k)
+        out = np.zeros(len(tries) * (k + k * k) + k * k)
         for row in got:
             out[row["i"]] = row["v"]
         return out
 
-    rates = Rates([], most)
-    for i in range(steps + 1):
-        s = sums(rates)
-        rates.totals = s[:k]
-        gap, gram = s[:k] - targets, s[k:].reshape(k, k)
-        if i == steps or np.abs(gap).max() <= tolerance * max(targets.sum(), 1.0):
-            break
-        top = float(np.linalg.eigvalsh((gram + gram.T) / 2).max())
+    moves: list[np.ndarray] = []
+    tries, still = [np.zeros(k)], 0
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for _ in range(most_steps + 1):
+        got = sums(moves, tries)
+        each, whole = got[: len(tries) * (k + k * k)].reshape(len(tries), -1), got[-k * k :].reshape(k, k)
+        far = ((each[:, :k] - targets) ** 2).sum(axis=1)
+        i = int(far.argmin())
+        if best is None or far[i] < best[0]:
+            still = still + 1 if best is not None and far[i] > 0.999 * best[0] else 0
+            moves = [*moves, tries[i]]
+            best = (float(far[i]), each[i, :k], each[i, k:].reshape(k, k))
+        else:
+            still = 3
+        gap, free = best[1] - targets, best[2]
+        met = bool(np.abs(gap).max(initial=0.0) <= tolerance * max(targets.sum(), 1.0))
+        if met or still >= 3:
+            return Rates(moves, most, best[1], met)
+        top = float(np.linalg.eigvalsh((whole + whole.T) / 2).max())
         if top <= 0:
-            break
-        # Gradient of half the squared gap in a metric scaled by the domains' own mass, so that small domains don't lag.
-        scale = np.maximum(np.diag(gram), 1e-9 * top)
-        half = gram / np.sqrt(np.outer(scale, scale))
-        step = 1.0 / max(float(np.linalg.eigvalsh((half + half.T) / 2).max()), 1e-12)
-        rates = Rates([*rates.moves, step * gap / scale], most)
-    return rates
+            return Rates(moves, most, best[1], met)
+        turned = np.linalg.pinv((free + free.T) / 2, rcond=1e-6, hermitian=True) @ gap
+        tries = [gap / top * 2.0**i for i in range(0, 10, 2)] + [turned * 0.5**i for i in range(3)]
+    raise RuntimeError(f"rates didn't settle in {most_steps} steps")
 
 
 def memberships(docs: DataFrame, model: Posteriors, id_col: str = "doc_id") -> DataFrame:
@@ -200,15 +235,15 @@ def memberships(docs: DataFrame, model: Posteriors, id_col: str = "doc_id") -> D
 OUTPUTS = ["n_words", "domain", "posterior", "rate", "copies"]
 
 
-def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most_rate: float | None = None, scarce: float | None = None) -> DataFrame:
+def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most_rate: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_words, domain (the likeliest), posterior (its), rate and copies; input columns of
     these names are replaced, all others pass through.
 
     ``weights`` gives each domain's share of all expected words; domains without a weight have 0, and weights are brought to
     a sum of 1. The budget is the corpus as it is: the targets add up to its number of words. Rates have no upper bound unless
-    ``most_rate`` gives one. Only if ``scarce`` is given, a domain that would need a rate over it throughout keeps its words,
-    and the others share the rest. Shares asked and reached are logged, as a warning where they differ. copies is the rate rounded
-    up or down by a hash of doc_id, so that its expectation is the rate and a rerun gives the same.
+    ``most_rate`` gives one. Shares asked and reached are logged, as a warning where they differ by more than the
+    tolerance. copies is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate and a rerun
+    gives the same.
 
     - A null, empty or blank text has no words and no part in the fit: domain null, posterior 0, rate 1.
     - Repeated rows get the same rate and copies. Where targets can't be met (a domain nobody belongs to), the rates come as
@@ -223,10 +258,9 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     share = share / share.sum() if share.sum() > 0 else np.full(len(names), 1.0 / len(names))
     mass = members.agg(*(F.coalesce(F.sum(F.col("tokens")[i]), F.lit(0.0)) for i in range(len(names)))).first()
     mass = np.array(mass, dtype=float)
-    targets = share * mass.sum() if scarce is None else reachable(share, mass, scarce)
-    rates = fit_rates(members, targets, most_rate=most_rate)
+    rates = fit_rates(members, share * mass.sum(), most_rate=most_rate)
     reached = rates.totals / max(float(mass.sum()), 1.0)
-    level = logging.WARNING if mass.sum() > 0 and np.abs(reached - share).max() > 0.001 else logging.INFO
+    level = logging.INFO if rates.met or not mass.sum() else logging.WARNING
     _LOG.log(level, "shares of words by domain, asked and reached: %s", ", ".join(f"{n} {a:.4f} {b:.4f}" for n, a, b in zip(names, share, reached, strict=True)))
 
     # The rates go back to the rows as a function of their texts: no join, no shuffle of texts.
@@ -255,11 +289,12 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     return out.toDF(*given.columns[:width], *OUTPUTS)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most_rate: float | None = None, scarce: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most_rate: float | None = None) -> DataFrame:
     """``docs`` with every row as often as its copies say (see ``document_rates``), its columns unchanged but for those of
     the names that operator writes, which are left out."""
-    got = document_rates(docs, labelled, weights, most_rate, scarce).where("copies > 0")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("_copy", *OUTPUTS)
+    got = document_rates(docs, labelled, weights, most_rate).where("copies > 0")
+    copy = free_name(got, "copy")
+    return got.withColumn(copy, F.explode(F.sequence(F.lit(1), "copies"))).drop(copy, *OUTPUTS)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:

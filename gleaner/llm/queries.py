@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from gleaner.llm import archives, bpe, html_text, language, mixing, near_dedup, pii, quality_model, quality_rules, revisits
 
 
-#: Shares of all words that the mixed corpus is to have: little poor text, and less toxic text than corpora come with.
-DOMAIN_WEIGHTS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
+#: Shares of all words that a mixed corpus is to have, whatever it comes with: no poor text, and a little toxic text to know it by.
+DOMAIN_WEIGHTS = {"good": 0.98, "poor": 0.0, "toxic": 0.02}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
