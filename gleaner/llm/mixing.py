@@ -125,7 +125,8 @@ def _evidence(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place[telling] = np.arange(1, len(telling) + 1)
     rest, rest_of = size - c[telling].sum(axis=0), of.sum() - of[telling].sum()
     other = np.log((rest + 1) / (size + 1)) - np.log((rest_of + 1) / (of.sum() + 1))
-    own = np.log((c[telling] + SMOOTH) / (size + SMOOTH * (len(telling) + 1))) - np.log(of[telling, None] / max(of.sum(), 1.0))
+    # Half a text of the whole sample's size is the least that a bucket has in any domain, small or large.
+    own = np.log(c[telling] / np.maximum(size, 1.0) + SMOOTH / max(of.sum(), 1.0)) - np.log(of[telling, None] / max(of.sum(), 1.0))
     return place, np.concatenate((other[None, :], own))
 
 
@@ -202,7 +203,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, tolerance: float = TOLERA
         far = ((each[:, :k] - targets) ** 2).sum(axis=1)
         i = int(far.argmin())
         if best is None or far[i] < best[0]:
-            still = still + 1 if best is not None and far[i] > 0.999 * best[0] else 0
+            still = still + 1 if best is not None and far[i] > 0.9999 * best[0] else 0
             moves = [*moves, tries[i]]
             best = (float(far[i]), each[i, :k], each[i, k:].reshape(k, k))
         else:
@@ -215,7 +216,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, tolerance: float = TOLERA
         if top <= 0:
             return Rates(moves, most, best[1], met)
         turned = np.linalg.pinv((free + free.T) / 2, rcond=1e-6, hermitian=True) @ gap
-        tries = [gap / top * 2.0**i for i in range(0, 10, 2)] + [turned * 0.5**i for i in range(3)]
+        tries = [gap / top * 4.0**i for i in range(8)] + [turned * 0.5**i for i in range(5)]
     raise RuntimeError(f"rates didn't settle in {most_steps} steps")
 
 

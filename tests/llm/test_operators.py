@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -71,20 +73,58 @@ def test_quality_rules(spark, odd):
     assert all(r.ratio == 0 and r.kept == (not r.base_failed) for r in none)
 
 
-def test_quality_ratio_is_the_mean_of_bucket_ratios(spark):
+def spark_hash(data, seed=42):
+    """Spark's xxhash64 of a string's bytes or of a long, as a signed number."""
+    raw = data.encode() if isinstance(data, str) else (data % 2**64).to_bytes(8, "little")
+    h = xxhash.xxh64_intdigest(raw, seed=seed % 2**64)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def ratios(rows, trusted, buckets=1 << 16):
+    """The mean log ratio of each row of (doc_id, text), counted word by word."""
+    grams = []
+    for _, t in rows:
+        h = [spark_hash(x) for x in WORD.findall(t or "")]
+        grams.append([x % buckets for x in h] + [spark_hash(y, spark_hash(x)) % buckets for x, y in zip(h, h[1:], strict=False)])
+    target, raw = Counter(), Counter()
+    for (d, _), g in zip(rows, grams, strict=True):
+        raw.update(g)
+        if d in trusted:
+            target.update(g)
+    q = sum(target.values()) / max(sum(raw.values()), 1)
+    out = []
+    for (d, _), g in zip(rows, grams, strict=True):
+        own, total = Counter(g), 0.0
+        for b, n in own.items():
+            t, r = target[b] - (n if d in trusted else 0), (raw[b] - n) * q
+            total += n * (math.log((t + 1) / (r + 1)) + r * (1 - q) / (2 * (r + 1) ** 2))
+        out.append(total / len(g) if g and q else 0.0)
+    return out
+
+
+def test_quality_ratio_and_verdict_against_brute_force(spark):
     rng = random.Random(3)
     say = "the of and a lorem ipsum dolor sit amet".split()
-    rows = [(i, " ".join(rng.choice(say) for _ in range(40))) for i in range(40)] + [(100 + i, " ".join(f"junk{rng.randint(0, 30)}###" for _ in range(40))) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    trusted = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
-    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, trusted).collect()}
-    assert all(got[i].kept for i in range(40)) and not any(got[100 + i].kept for i in range(40))
-    model = quality_rules.log_ratios(docs, trusted).first().model
-    w = rows[7][1].split()
-    h = [r.h for r in spark.createDataFrame([(i, x) for i, x in enumerate(w)], "i int, x string").select("i", F.xxhash64("x").alias("h")).orderBy("i").collect()]
-    pairs = spark.createDataFrame(list(zip(h, h[1:], strict=False)), "a long, b long").select(F.xxhash64("a", "b").alias("h")).collect()
-    buckets = [x % quality_rules.BUCKETS for x in h] + [r.h % quality_rules.BUCKETS for r in pairs]
-    assert got[7].ratio == pytest.approx(sum(model[b] for b in buckets) / len(buckets))
+    rows = [(i, " ".join(rng.choice(say) + str(rng.randint(0, 3)) for _ in range(rng.randint(3, 60)))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"junk{rng.randint(0, 30)}###" for _ in range(40))) for i in range(40)] + [(200, None), (201, ""), (202, "own own own own word word word 1 2 3 4 5 6 7 8 9"), (None, "the of and a lorem ipsum dolor sit amet 9"), (3, rows[3][1])]
+    trusted = {i for i in range(20)} | {202}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_model", F.lit(1)).withColumn("target", F.lit(2)).withColumn("_q", F.lit(3)).withColumn("id", F.lit(4))
+    ids = spark.createDataFrame([(i,) for i in [*trusted, None, 5]], "doc_id long")
+    got = quality_rules.quality_rules(docs, ids)
+    assert set(docs.columns) <= set(got.columns)
+    want = sorted((str(d), round(r, 9), not base_rules(t)[5] and r >= quality_rules.LEAST_RATIO) for (d, t), r in zip(rows, ratios(rows, trusted), strict=True))
+    assert sorted((str(r.doc_id), round(r.ratio, 9), r.kept) for r in got.collect()) == want
+    assert sum(w[2] for w in want) > 30 and not any(w[2] for w in want if w[0].startswith("1") and len(w[0]) == 3)
+
+
+def test_quality_ratio_is_the_same_inside_and_outside_the_target(spark):
+    """Texts of one kind, half of them trusted: neither half is favoured."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 60)) for _ in range(80))) for i in range(300)]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "doc_id long")
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), trusted).collect()
+    inside, outside = (np.mean([r.ratio for r in got if r.doc_id % 2 == k]) for k in (0, 1))
+    assert abs(inside - outside) < 0.02 and all(r.kept for r in got)
 
 
 # 6: near duplicates
@@ -308,7 +348,7 @@ def test_mixing_meets_targets(spark):
     sums = np.zeros(2)
     for r in got:
         sums += np.array(post[r.doc_id][1]) * r.rate
-    assert np.abs(sums - total / 2).max() < 0.01 * total and all(0 <= r.rate <= mixing.MOST_RATE for r in got)
+    assert np.abs(sums - total / 2).max() < 0.01 * total and all(0 <= r.rate for r in got)
     assert all(r.rate == 1.0 and r.domain is None for r in got if r.doc_id >= 5000)
     mixed = mixing.mix(docs, labels, {"a": 0.5, "b": 0.5})
     assert mixed.count() == sum(r.copies for r in got) and set(mixed.columns) == {"doc_id", "text", "lang"}
@@ -316,10 +356,6 @@ def test_mixing_meets_targets(spark):
     assert {r.rate for r in mixing.document_rates(docs, empty(labels), {"a": 1.0}).collect()} == {1.0}
 
 
-def test_reachable_leaves_small_domains_alone():
-    assert mixing.reachable(np.array([0.5, 0.5]), np.array([990.0, 10.0])).tolist() == [990.0, 10.0]
-
-
 # 4: archives
 
 
