@@ -14,10 +14,10 @@ from gleaner.llm.shingles import mix
 
 #: Buckets of the hashed letter trigrams of a language.
 BUCKETS = 1 << 15
-#: Documents that the model is learned from at most (about; chosen by hash of their id).
-TRAIN_ROWS = 50_000
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 64
+#: Documents of a language that the model is learned from at most (about; chosen by hash of their id): rare languages keep all.
+TRAIN_ROWS = 20_000
+#: More languages than this are refused: the model holds a number for each bucket and language.
+MOST_LANGUAGES = 1_000
 SMOOTH = 0.2
 ROUNDS = 12
 #: Each language of a document's set costs this many times the log of its number of words.
@@ -116,11 +116,13 @@ class Model:
         return out, has
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def _runs(column: pa.Array, languages: int = 1) -> Iterator[tuple[int, list[str]]]:
+    """Runs of rows of so many characters that a number for each word and language stays small."""
+    most = _CHUNK * 8 // max(languages, 8)
     at, run, size = 0, [], 0
     for i, x in enumerate(column):
         t = x.as_py() or ""
-        if run and size + len(t) > _CHUNK:
+        if run and size + len(t) > most:
             yield at, run
             at, run, size = i, [], 0
         run.append(t)
@@ -132,15 +134,19 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns the trigram counts of each non-null ``lang`` of ``docs`` (doc_id, text, lang).
 
-    Fitted on all rows, or on a sample of about ``train_rows`` chosen by hash of doc_id where there are more. Each task sums
-    its counts; what comes to the driver is bounded by ``LANGUAGES`` times ``BUCKETS`` numbers.
+    Fitted on all rows of a language, or, where there are more, on a sample of about ``train_rows`` of them chosen by hash of
+    doc_id. Each task sums its counts; what comes to the driver is ``BUCKETS`` numbers a language. All languages are
+    learned (over ``MOST_LANGUAGES`` of them raise ValueError); one without a letter in its texts has nothing to be learned.
     """
-    known = docs.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    total = known.count() if len(sizes) == LANGUAGES else sum(r["n"] for r in sizes)
-    names = [r["lang"] for r in sizes]
-    if total > train_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / total))
+    known = docs.where("lang is not null and text is not null and doc_id is not null")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = sorted(sizes)
+    for name, n in sizes.items():
+        if n > train_rows:
+            drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n)
+            known = known.where((F.col("lang") != name) | drawn)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -152,7 +158,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
                     continue
                 row = np.repeat(of, np.diff(np.concatenate((first, [len(bucket)]))))
                 here = langs[at : at + len(texts)]
-                for name in set(here) & set(names):
+                for name in set(here):
                     hit = np.flatnonzero(here == name)
                     mask = np.zeros(len(texts), dtype=bool)
                     mask[hit] = True
@@ -168,7 +174,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     for name in names:
         hit = lang == name
         counts[name][bucket[hit]] = n[hit]
-    return Model.of(counts)
+    return Model.of({name: c for name, c in counts.items() if c.any()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,7 +190,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in _runs(batch.column(1)):
+            for at, texts in _runs(batch.column(1), len(model.names)):
                 share, has = model.proportions(texts)
                 names, scores, sets = [], [], []
                 for p, h in zip(share, has, strict=True):
@@ -200,5 +206,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def split_by_crc(docs: DataFrame, parts: int, held: int) -> DataFrame:
-    """``docs`` with held_out: whether crc32 of doc_id as text is ``held`` modulo ``parts``."""
-    return docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % parts == held)
+    """``docs`` with held_out: whether crc32 of doc_id as text is ``held`` modulo ``parts``. A row without a doc_id is in no fold: it is
+    not held out, and nothing is learned from it either."""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False)))

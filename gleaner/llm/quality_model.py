@@ -16,8 +16,8 @@ from gleaner.llm.common import Scratch
 
 #: Labelled rows that are used at most, the first by hash of their id: 24 bytes each to broadcast.
 TRAIN_ROWS = 20_000
-#: Every how many-th of them (by hash) calibrates instead of fitting.
-CALIBRATE = 3
+#: Parts of them (by hash): the scores that calibrate a part come from weights that the other parts are fitted to.
+FOLDS = 3
 FEATURES = 256
 RIDGE = 1e-3
 WIDTH = 3.0
@@ -96,10 +96,13 @@ class Model:
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best non-decreasing fit of ``y`` on ``x`` by pooling adjacent violators: (knots, levels) for interpolation."""
-    order = np.argsort(x, kind="stable")
+    # Rows of one score come first to their mean: what a tie gets does not depend on the order of rows.
+    at, of = np.unique(x, return_inverse=True)
+    mass = np.bincount(of, weights=weight)
+    level = np.bincount(of, weights=y * weight) / mass
     pools: list[list[float]] = []  # level, weight, lowest x, highest x
-    for i in order:
-        pools.append([float(y[i]), float(weight[i]), float(x[i]), float(x[i])])
+    for i in range(len(at)):
+        pools.append([float(level[i]), float(mass[i]), float(at[i]), float(at[i])])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             b, a = pools.pop(), pools.pop()
             w = a[1] + b[1]
@@ -115,23 +118,25 @@ def _matrix(batch: pa.RecordBatch, at: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, scratch: Scratch | None = None) -> Model:
     """Fits on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0/1) marks, at most ``train_rows``.
 
-    The statistics of the sample are written once; means, normal equations and scores are then sums over its partitions,
-    so the driver adds a matrix a partition. Of contradictory labels of one id the least counts. Without rows of both
-    classes the score is the share of class 1 (0.5 without any row).
+    The statistics of the sample are written once; means and normal equations are then sums over its partitions, by fold, so
+    the driver adds a matrix a fold and partition. The isotonic calibration is fitted to scores of rows that had no part
+    in the weights that scored them (cross-fitting, at any number of rows); the weights of the model are fitted to all.
+    Of contradictory labels of one id the least counts. Without rows of both classes the score is the share of class 1
+    (0.5 without any row).
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = rows.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)) == 0).alias("check"))
+    rows = rows.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [statistics(t or "") for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "check"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "fold"])
 
     # Dealt anew, not coalesced: the scan of the texts keeps all its tasks, only the bounded sample comes together.
-    sample = scratch.keep(rows.mapInArrow(measured, "x array<double>, y double, check boolean").repartition(8), "sample")
+    sample = scratch.keep(rows.mapInArrow(measured, "x array<double>, y double, fold int").repartition(8), "sample")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, len(NAMES)))
@@ -148,30 +153,32 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, scra
     d = FEATURES + 1
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros((d, d)), np.zeros(d)
+        total = np.zeros((FOLDS, d * d + d))
         for batch in batches:
-            use = ~batch.column(2).to_numpy(zero_copy_only=False)
-            if use.any():
-                z, y = fourier(_matrix(batch, 0)[use]), batch.column(1).to_numpy()[use]
-                a += z.T @ z
-                b += z.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((a.ravel(), b)).tobytes()])], names=["m"])
+            fold = batch.column(2).to_numpy()
+            for i in np.unique(fold):
+                z, y = fourier(_matrix(batch, 0)[fold == i]), batch.column(1).to_numpy()[fold == i]
+                total[i] += np.concatenate(((z.T @ z).ravel(), z.T @ y))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["m"])
 
-    total = sum((np.frombuffer(r["m"]) for r in sample.mapInArrow(normal, "m binary").collect()), np.zeros(d * d + d))
-    a, b = total[: d * d].reshape(d, d), total[d * d :]
-    weights = np.linalg.solve(a + RIDGE * max(a[0, 0], 1.0) * np.eye(d), b)
+    total = sum((np.frombuffer(r["m"]).reshape(FOLDS, -1) for r in sample.mapInArrow(normal, "m binary").collect()), np.zeros((FOLDS, d * d + d)))
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        a, b = sums[: d * d].reshape(d, d), sums[d * d :]
+        return np.linalg.solve(a + RIDGE * max(a[0, 0], 1.0) * np.eye(d), b)
+
+    weights, without = solved(total.sum(axis=0)), np.stack([solved(total.sum(axis=0) - total[i]) for i in range(FOLDS)])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(fourier(_matrix(batch, 0)) @ weights), batch.column(1), batch.column(2)], names=["s", "y", "check"])
+                s = (fourier(_matrix(batch, 0)) * without[batch.column(2).to_numpy()]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(s), batch.column(1)], names=["s", "y"])
 
-    found = sample.mapInArrow(scored, "s double, y double, check boolean").toPandas()
-    held = found[found["check"]]
-    use = held if len(held) >= 50 and held["y"].nunique() == 2 else found
-    if not len(use):
+    found = sample.mapInArrow(scored, "s double, y double").toPandas()
+    if not len(found):
         return Model(fourier, weights, np.array([0.0]), np.array([0.5]))
-    knots, levels = isotonic(use["s"].to_numpy(), use["y"].to_numpy(), np.ones(len(use)))
+    knots, levels = isotonic(found["s"].to_numpy(), found["y"].to_numpy(), np.ones(len(found)))
     return Model(fourier, weights, knots, levels)
 
 
