@@ -1,9 +1,10 @@
 """Operator 4: media payloads in archives, read by a Spark data source in byte ranges, member by member.
 
-Writing packs every text as an 8-bit grey image (PNG, lossless) into ZIP archives in a shared folder. Reading plans partitions
-from the archives' sizes alone: each is a byte range of one archive, and holds the members whose header starts in it. A task
-reads its archive's directory (bounded by ``ARCHIVE_BYTES``), then streams members in Arrow batches of bounded size. A member
-that fails is read again by its offset, whatever the others do; one that keeps failing becomes a row with an error.
+Writing packs every text as an 8-bit grey image (PNG, lossless) into ZIP archives in a shared folder, and lists them in a
+manifest. Reading plans partitions from the archives' sizes alone (those of the manifest, or of the files in the folder): each
+holds byte ranges of archives, and of these the members whose header starts in them. A task reads an archive's directory
+(bounded by ``ARCHIVE_BYTES``), then streams members in Arrow batches of bounded size. A member that fails is read again by its
+offset, from a file opened anew, whatever the others do; one that keeps failing becomes a row with an error, or fails the task.
 """
 
 from __future__ import annotations
@@ -11,23 +12,28 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import fs, parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gleaner.llm.common import Scratch
 
 #: Samples in a row of an image; payloads are padded to a multiple of it with the byte PAD.
 ROW, PAD = 192, b" "
-#: An archive is closed at this size; a partition covers as many bytes of one; a batch holds as many payload bytes.
+#: An archive is closed at this size; a partition covers as many bytes, or more where there would be over MOST_RANGES of them; a batch
+#: holds as many payload bytes.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20, 4 << 20
-ATTEMPTS = 3
+MOST_RANGES = 100_000
+#: How often a member is tried, and the seconds before the second time (each later pause is twice as long).
+ATTEMPTS, PAUSE = 3, 0.2
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -104,6 +110,7 @@ class _Archive:
             size += len(head)
         count = min(len(self.entries), 0xFFFF)
         self.out.write(struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, count, count, size, start, 0))
+        self.size = start + size + 22
         self.out.close()
         self.fs.move(self.part, self.path)
 
@@ -138,46 +145,78 @@ def read_member(file: pa.NativeFile, offset: int, size: int, crc: int) -> bytes:
     return data
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, size: int, start: int, end: int):
-        self.path, self.size, self.start, self.end = path, size, start, end
+class Ranges(InputPartition):
+    """(path, size, start, end) of byte ranges of archives."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.step = options["path"], int(options.get("rangebytes", RANGE_BYTES))
-        self.attempts = int(options.get("attempts", ATTEMPTS))
-
-    def partitions(self) -> list[InputPartition]:
+        self.root, self.manifest = options["path"], options.get("manifest")
+        self.step = int(options.get("rangebytes", RANGE_BYTES))
+        self.attempts, self.fail = int(options.get("attempts", ATTEMPTS)), options.get("onerror", "row") == "fail"
+
+    def archives(self) -> list[tuple[str, int]]:
+        """(path, size) of the archives to read, by path."""
+        if self.manifest:
+            where, path = _fs(self.manifest)
+            table = parquet.read_table(path, columns=["archive", "size"], filesystem=where)
+            return sorted(zip(table["archive"].to_pylist(), table["size"].to_pylist(), strict=True))
         where, path = _fs(self.root)
-        found = [f for f in where.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".zip")]
-        return [Range(f.path, f.size, a, min(a + self.step, f.size)) for f in found for a in range(0, f.size, self.step)] or [Range("", 0, 0, 0)]
+        found = where.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        return sorted((f.path, f.size) for f in found if f.path.endswith(".zip"))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def partitions(self) -> list[InputPartition]:
+        found = self.archives()
+        step = max(self.step, sum(n for _, n in found) // MOST_RANGES)
+        out, held = [[]], 0
+        for path, size in found:
+            for a in range(0, size, step):
+                b = min(a + step, size)
+                if out[-1] and held + b - a > step:
+                    out.append([])
+                    held = 0
+                out[-1].append((path, size, a, b))
+                held += b - a
+        return [Ranges(parts) for parts in out]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         where, _ = _fs(self.root)
-        with where.open_input_file(partition.path) as file:
+        for path, size, start, end in partition.parts:
             rows: list[tuple] = []
             held = 0
-            for offset, size, name, crc in directory(file, partition.size):
-                if not partition.start <= offset < partition.end:
-                    continue
-                data, error, tries = None, None, 0
-                while data is None and tries < self.attempts:
-                    tries += 1
-                    try:
-                        data, error = read_member(file, offset, size, crc), None
-                    except (OSError, ValueError) as e:
-                        error = str(e)
-                rows.append((partition.path, offset, name, data, tries, error))
-                held += size
-                if held >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
+            with where.open_input_file(path) as file:
+                members = directory(file, size)
+                for offset, n, name, crc in members:
+                    if not start <= offset < end:
+                        continue
+                    data, tries, error = self._tried(where, path, file, offset, n, crc)
+                    rows.append((path, offset, name, data, tries, error))
+                    held += n
+                    if held >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
             if rows:
                 yield _batch(rows)
 
+    def _tried(self, where: fs.FileSystem, path: str, file: pa.NativeFile, offset: int, size: int, crc: int) -> tuple[bytes | None, int, str | None]:
+        """(payload, tries, error) of a member: first from the open file, then each time from the file opened anew after a pause."""
+        error = None
+        for i in range(self.attempts):
+            try:
+                if not i:
+                    return read_member(file, offset, size, crc), 1, None
+                time.sleep(PAUSE * 2 ** (i - 1))
+                with where.open_input_file(path) as again:
+                    return read_member(again, offset, size, crc), i + 1, None
+            except (OSError, ValueError) as e:
+                error = str(e)
+        if self.fail:
+            raise OSError(f"{path}: {error}")
+        return None, self.attempts, error
+
 
 _KINDS = {"archive": pa.string(), "offset": pa.int64(), "name": pa.string(), "media": pa.binary(), "attempts": pa.int32(), "error": pa.string()}
 
@@ -187,7 +226,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("gleaner_archives").load(folder)``: a row for each member of the folder's archives."""
+    """``spark.read.format("gleaner_archives").load(folder)``: a row for each member of the folder's archives.
+
+    Options: ``manifest`` (a table of the archives to read, instead of all files in the folder), ``rangeBytes``, ``attempts``,
+    ``onError`` (``row``: a member that can't be read is a row with an error; ``fail``: it fails the task, which Spark
+    then repeats elsewhere).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -201,7 +245,7 @@ class ArchiveSource(DataSource):
 
 
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
-    """Stores the text of each row of ``docs`` (doc_id, text) in archives in ``folder``; (archive, members, bytes) of each.
+    """Stores the text of each row of ``docs`` (doc_id, text) in archives in ``folder``; (archive, members, bytes, size) of each.
 
     A member is named by its place and doc_id. An archive gets its final name, which only its partition and place in it
     determine, when complete: a repeated attempt replaces it by the same.
@@ -216,7 +260,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if open_ is None:
                     open_ = _Archive(where, f"{root}/part-{task.partitionId():06d}-{len(done):04d}.zip", task.taskAttemptId())
-                open_.add(f"{n}:{'' if doc_id is None else doc_id}.png", to_png((text or "").encode()))
+                open_.add(f"{n}{'' if doc_id is None else f':{doc_id}'}.png", to_png((text or "").encode()))
                 n += 1
                 if open_.at >= ARCHIVE_BYTES or len(open_.entries) == 0xFFFF:
                     open_.close()
@@ -226,11 +270,11 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
             open_.close()
             done.append(open_)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([a.path for a in done], type=pa.string()), pa.array([len(a.entries) for a in done], type=pa.int64()), pa.array([a.at for a in done], type=pa.int64())],
-            names=["archive", "members", "bytes"],
+            [pa.array([a.path for a in done], type=pa.string()), *(pa.array(x, type=pa.int64()) for x in ([len(a.entries) for a in done], [a.at for a in done], [a.size for a in done]))],
+            names=["archive", "members", "bytes", "size"],
         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "archive string, members long, bytes long")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "archive string, members long, bytes long, size long")
 
 
 def features(samples: np.ndarray) -> str:
@@ -244,30 +288,31 @@ def features(samples: np.ndarray) -> str:
     signs = np.packbits(means[1:] > means[:-1]).tobytes().hex()
     level = np.arange(256)
     mean = float((share * level).sum())
-    return f"{mean:.4f}:{float((share * (level - mean) ** 2).sum()) ** 0.5:.4f}:{float(-(some * np.log2(some)).sum()):.4f}:{signs}"
+    return f"{mean:.4f}:{float((share * (level - mean) ** 2).sum()) ** 0.5:.4f}:{abs(float((some * np.log2(some)).sum())):.4f}:{signs}"
 
 
-def media_columns(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def media_columns(spark: SparkSession, docs: DataFrame, on_error: str = "row") -> DataFrame:
     """doc_id and the columns of the stored and re-read media of each row of ``docs`` (doc_id, text): n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and error (null, or why a member could not be read,
-    all others null then).
+    all others null then; with ``on_error`` "fail" such a member fails its task instead).
 
     - A null text counts as empty; an empty one is stored as one row of padding. Texts of any length are stored whole.
-    - Equal texts give equal values. Repeated rows are members of their own; an empty table gives an empty result.
+    - Equal texts give equal values. Repeated rows are members of their own; an empty table gives an empty result. doc_id may
+      be null and of any type that goes to text and back.
     - The archives stay in the shared folder as long as results may be read.
     """
     scratch = Scratch(spark, "media")
     folder = f"{scratch.root}/archives"
     scratch.keep(write_archives(docs, folder), "manifest")
     spark.dataSource.register(ArchiveSource)
-    members = spark.read.format("gleaner_archives").load(folder)
+    members = spark.read.format("gleaner_archives").option("manifest", f"{scratch.root}/manifest").option("onError", on_error).load(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, media, error in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                key = name.partition(":")[2].removesuffix(".png")
-                doc_id = int(key) if key else None
+                _, has, key = name.removesuffix(".png").partition(":")
+                doc_id = key if has else None
                 row = (doc_id, *[None] * 7, error)
                 if media is not None:
                     try:
@@ -275,13 +320,16 @@ def media_columns(spark: SparkSession, docs: DataFrame) -> DataFrame:
                         data = samples.tobytes()
                         row = (doc_id, size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), None)
                     except (ValueError, zlib.error) as e:
+                        if on_error == "fail":
+                            raise
                         row = (doc_id, *[None] * 7, str(e))
                 out.append(row)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             cols = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=[str(i) for i in range(len(kinds))])
 
-    return members.select("name", "media", "error").mapInArrow(
+    out = members.select("name", "media", "error").mapInArrow(
         run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string",
+        "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string",
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))

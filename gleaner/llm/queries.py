@@ -19,7 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.media_columns(spark, _table(spark, sf_dir, "documents")).drop("error")
+    # What was just written has to be readable: a member that isn't fails its task, so that Spark tries it elsewhere.
+    return archives.media_columns(spark, _table(spark, sf_dir, "documents"), on_error="fail")
 
 
 def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_revisits": r"""
     WITH p AS (
-        SELECT page_id AS p, md5(html) AS m, page_id * 60 AS start,
+        SELECT page_id AS p, md5(html) AS m, md5('2-' || html) AS m2, page_id * 60 AS start,
                regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
         FROM pages),
     u AS (
@@ -96,17 +97,17 @@ ORACLES: dict[str, str] = {
                     '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS canonical
         FROM p),
     full_ AS (
-        SELECT canonical, start AS ts, p * 3 AS record_id, '"' || m || '"' AS tag, 'day ' || (p % 30) AS modified, 'day ' || (p % 7) AS date_
+        SELECT canonical, start AS ts, p * 3 AS record_id, '"' || m || '"' AS tag, 'day ' || (p % 30) AS modified, 'day ' || (p % 7) AS date_, m AS digest
         FROM u WHERE p % 5 <> 0
         UNION ALL
-        SELECT canonical, start + 172800, p * 3 + 1, '"2-' || m || '"', 'day ' || (p % 30 + 2), NULL FROM u WHERE p % 3 = 0),
+        SELECT canonical, start + 172800, p * 3 + 1, '"2-' || m || '"', 'day ' || (p % 30 + 2), NULL, m2 FROM u WHERE p % 3 = 0),
     again AS (
         SELECT canonical, start + (p % 4 + 1) * 86400 AS ts, p * 3 + 2 AS record_id,
                CASE WHEN p % 7 = 0 THEN '"other"' WHEN p % 4 = 1 THEN NULL ELSE 'W/"' || m || '"' END AS tag,
                CASE WHEN p % 8 <> 1 THEN 'day ' || (p % 30) END AS modified, 'day ' || (p % 11) AS expires
         FROM u),
     joined AS (
-        SELECT a.*, f.record_id AS base_id, f.tag AS tag0, f.modified AS modified0, f.date_ AS date0,
+        SELECT a.*, f.record_id AS base_id, f.tag AS tag0, f.modified AS modified0, f.date_ AS date0, f.digest AS digest0,
                row_number() OVER (PARTITION BY a.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS n
         FROM again a LEFT JOIN full_ f ON a.canonical = f.canonical AND (f.ts < a.ts OR f.ts = a.ts AND f.record_id < a.record_id)),
     judged AS (
@@ -119,7 +120,8 @@ ORACLES: dict[str, str] = {
            CASE WHEN verdict = 'resolved'
                 THEN 'content-type=text/html' || coalesce(';date=' || date0, '') || ';etag=' || coalesce(tag, tag0) || ';expires=' || expires
                      || ';last-modified=' || coalesce(modified, modified0)
-                ELSE 'content-type=none' || coalesce(';etag=' || tag, '') || ';expires=' || expires || coalesce(';last-modified=' || modified, '') END AS headers
+                ELSE 'content-type=none' || coalesce(';etag=' || tag, '') || ';expires=' || expires || coalesce(';last-modified=' || modified, '') END AS headers,
+           CASE WHEN verdict = 'resolved' THEN digest0 ELSE md5('') END AS digest
     FROM judged
     """,
 }

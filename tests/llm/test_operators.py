@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gleaner.llm import archives, bpe, html_text, language, mixing, near_dedup, pii, quality_model, quality_rules, revisits, shingles
+from gleaner.llm import archives, bpe, html_text, language, mixing, near_dedup, pii, quality_model, quality_rules, queries, revisits, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -359,6 +359,39 @@ def test_mixing_meets_targets(spark):
 # 4: archives
 
 
+def feature(data):
+    """The feature of a payload, sample by sample."""
+    n = len(data)
+    mean = sum(data) / n
+    deviation = (sum((x - mean) ** 2 for x in data) / n) ** 0.5
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(data).values())
+    edge = [int(i * n / 65) for i in range(66)]
+    means = [sum(data[a:b]) / max(b - a, 1) for a, b in zip(edge, edge[1:], strict=False)]
+    bits = "".join("01"[y > x] for x, y in zip(means, means[1:], strict=False))
+    return f"{mean:.4f}:{deviation:.4f}:{entropy + 0.0:.4f}:{int(bits, 2):016x}"
+
+
+def test_media_ids_of_text_and_archives_that_are_not_listed(spark, tmp_path):
+    docs = spark.createDataFrame([("a/b:c.png", "x"), ("", "y"), (None, "z")], "doc_id string, text string")
+    assert {(r.doc_id, r.n_bytes) for r in archives.media_columns(spark, docs).collect()} == {("a/b:c.png", 1), ("", 1), (None, 1)}
+    folder = f"file://{tmp_path}/a"
+    listed = archives.write_archives(docs.coalesce(1), folder)
+    listed.write.parquet(f"{tmp_path}/manifest")
+    (old,) = (tmp_path / "a").glob("*.zip")
+    (tmp_path / "a" / "part-000000-0009.zip").write_bytes(old.read_bytes())
+    read = spark.read.format("gleaner_archives")
+    assert read.load(folder).count() == 6 and read.option("manifest", f"file://{tmp_path}/manifest").load(folder).count() == 3
+
+
+def test_media_ranges_follow_the_total(monkeypatch):
+    monkeypatch.setattr(archives.ArchiveReader, "archives", lambda self: [(f"a{i}", 64 << 20) for i in range(100)])
+    plan = lambda: archives.ArchiveReader({"path": "/x"}).partitions()
+    assert len(plan()) == 400 and all(len(p.parts) == 1 for p in plan())
+    monkeypatch.setattr(archives, "MOST_RANGES", 20)
+    parts = [x for p in plan() for x in p.parts]
+    assert len(plan()) <= 25 and sum(b - a for _, _, a, b in parts) == 100 * (64 << 20)
+
+
 def test_media_round_trip(spark, odd):
     got = archives.media_columns(spark, odd.withColumn("feature", F.lit(1))).collect()
     text = {i: t for i, t in enumerate(ODD)} | {None: "no id here"}
@@ -367,7 +400,7 @@ def test_media_round_trip(spark, odd):
         data = (text[r.doc_id] or "").encode()
         full = data + b" " * ((-len(data)) % 192 if data else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
-        assert r.media_bytes > 0 and r.error is None and r.feature.count(":") == 3
+        assert r.media_bytes > 0 and r.error is None and r.feature == feature(full)
     assert archives.media_columns(spark, empty(odd)).count() == 0
 
 
@@ -389,6 +422,8 @@ def test_archive_ranges_and_damage(spark, tmp_path):
     again = {r.offset: r for r in read().collect()}
     assert again[victim.offset].media is None and again[victim.offset].attempts == archives.ATTEMPTS and "damaged" in again[victim.offset].error
     assert sum(r.media is not None for r in again.values()) == 49
+    with pytest.raises(Exception, match="damaged"):
+        spark.read.format("gleaner_archives").option("onError", "fail").option("attempts", 1).load(folder).collect()
 
 
 # 5: revisits
@@ -420,8 +455,40 @@ def test_revisits(spark):
     three = {r.record_id: r.headers for r in revisits.resolve_revisits(df).collect()}[3]
     assert three == {"etag": 'W/"x"', "content-type": "text/html", "cache-control": "new"}
     assert revisits.resolve_revisits(empty(df)).count() == 0
-    small = [(r.record_id, r.base_id, r.verdict) for r in revisits.resolve_revisits(df, 7).collect()]
-    assert sorted(small, key=str) == sorted(got, key=str)
+    for seconds, most in ((7, 100_000), (86_400, 1), (1_000_000, 2)):
+        small = [(r.record_id, r.base_id, r.verdict) for r in revisits.resolve_revisits(df, seconds, most).collect()]
+        assert sorted(small, key=str) == sorted(got, key=str)
+    named = df.withColumn("digest", F.concat(F.lit("d"), "record_id"))
+    assert {r.record_id: r.digest for r in revisits.resolve_revisits(named).collect()} == {3: "d1", 4: "d4", 6: "d5", 7: "d7", 8: "d8", 9: "d9", 10: "d10", 11: "d11", 12: "d11"}
+
+
+def test_revisits_against_a_loop_and_the_oracle(spark):
+    import duckdb
+
+    rng = random.Random(9)
+    rows, n = [], 0
+    for _ in range(500):
+        n += 1
+        u, t = f"http://h/{rng.randint(0, 3)}", rng.randint(0, 3_000)
+        tag = rng.choice([None, '"a"', '"b"'])
+        h = {"etag": tag} if tag else {}
+        rows.append((n, u, t, "response", rng.choice([200, 200, 500]), h) if rng.random() < 0.4 else (n, u, t, "revisit", 304, h))
+    want = {}
+    for i, u, t, kind, _, h in rows:
+        if kind == "revisit":
+            base = max((r for r in rows if r[3] == "response" and r[4] == 200 and r[1] == u and (r[2], r[0]) < (t, i)), key=lambda r: (r[2], r[0]), default=None)
+            both = base and "etag" in h and "etag" in base[5]
+            want[i] = (base and base[0], "no_base" if not base else "unvalidated" if not both else "resolved" if h == base[5] else "mismatch")
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, headers map<string,string>")
+    for seconds, most in ((86_400, 100_000), (1_024, 20)):
+        assert {r.record_id: (r.base_id, r.verdict) for r in revisits.resolve_revisits(df, seconds, most).collect()} == want
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    oracle = con.execute(queries.ORACLES["op5_revisits"]).fetchdf()
+    got = queries.op5_revisits(spark, "/root/testdata/sf0.01").toPandas()
+    assert sorted(got.columns) == sorted(oracle.columns) and len(got) == len(oracle)
+    for c in ("verdict", "headers", "digest", "canonical"):
+        assert dict(zip(got.record_id, got[c], strict=True)) == dict(zip(oracle.record_id, oracle[c], strict=True))
 
 
 # 9: main text
