@@ -2,7 +2,8 @@
 
 A page is cut into blocks of running text. The first pass calls a block good or bad by its place, its length, its share of
 link text and its density of stop words, or leaves it undecided; the second gives an undecided block the label of the nearest
-decided block of its surroundings.
+decided block of its surroundings. Class names weigh in the first pass: a name of boilerplate rules a block out, a name that
+only holds such a word asks more of it, and nothing at all within an article.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,13 +28,20 @@ INSIDE = frozenset("article main".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark boilerplate.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation footer header masthead cookie cookies consent gdpr notice notification alert banner comment comments disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget breadcrumb breadcrumbs pagination pager copyright skip toolbar complementary contentinfo search".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation footer header masthead cookie cookies consent gdpr notice notification alert banner comment comments disqus replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget breadcrumb breadcrumbs pagination pager copyright skip toolbar complementary contentinfo search".split()
 )
-#: Words beside a mark that turn it around, as in "no-sidebar" or "content-with-sidebar".
-TURNED = frozenset("no not without with has free hide hidden main content".split())
+#: Marks of what readers wrote, also around an article.
+READERS = frozenset("comment comments disqus replies discussion".split())
+#: Words beside a mark that only say that something is held, and where, as in "footer-content".
+HOLDERS = frozenset("content main inner outer wrap wrapper container box block body area section list item items text row col column panel group link links left right top bottom bar slot zone unit region holder posts articles stories form icon icons button buttons".split())
+#: Words before a mark that say whose it is, as in "page-footer".
+OWNERS = frozenset("site page global primary secondary post article entry user reader blog story".split())
+#: Words that turn a mark around, as in "no-sidebar" or "content-with-sidebar".
+TURNED = frozenset("no not without with has free hide hidden".split())
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be been but by can could did do for from had has have he her his how i if in into is it its just like more most my no not of on one only or other our out over she so some than that the their them then there these they this to up was we were what when which who will with would you your
     au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur lui mais ne nous ou par pas plus pour qu que qui sa se ses son sont sur un une vous y
@@ -45,9 +54,12 @@ SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 LINKS = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Scripts that are written without spaces: a character of theirs counts as three.
+_DENSE = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿가-힯]")
 
 
 @dataclass
@@ -57,61 +69,109 @@ class Block:
     inside: bool
     around: bool
     heading: bool
+    weak: bool = False
     label: str = ""
 
 
-def _marked(attributes: str) -> bool:
+def _weight(name: str) -> tuple[int, frozenset[str]]:
+    """How much a class name speaks of boilerplate, and its marks: 2 if it names some, 1 if a mark is but part of another
+    thing's name, as in "related-work"; 0 else."""
+    parts = [x.lower() for x in _PART.findall(name)]
+    marks = MARKS.intersection(parts)
+    if not marks or TURNED.intersection(parts):
+        return 0, frozenset()
+    rest = [x for x in parts if x not in HOLDERS]
+    named = all(x in MARKS or x in OWNERS for x in rest) or rest[-1] in MARKS and "of" not in rest
+    return (2 if named else 1), marks
+
+
+def _marked(attributes: str) -> tuple[int, frozenset[str]]:
+    """The weight of an element's class, id and role, and the marks of the names that have it."""
+    most, marks = 0, frozenset()
     for m in _MARK.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = set(re.split(r"[^a-z]+", name))
-            if MARKS & parts and not TURNED & parts:
-                return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            w, found = _weight(name)
+            most, marks = (w, found) if w > most else (most, marks | found if w == most else marks)
+    return most, marks
+
+
+class _Place(NamedTuple):
+    """Where text stands: what the open elements say together."""
+
+    tag: str = ""
+    inside: bool = False
+    #: Boilerplate by a tag or by readers' marks, also around an article; by other marks, since the last article began.
+    fixed: bool = False
+    named: bool = False
+    weak: bool = False
+    heading: bool = False
+    anchor: bool = False
 
 
 def blocks(page: str) -> list[Block]:
-    """The non-empty blocks of a page in page order. Elements left open are closed by the end of what holds them."""
+    """The non-empty blocks of a page in page order, in one pass. Elements left open are closed by the end of what holds them; the end
+    of an inline element does not close the block around it."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, what makes it boilerplate ("tag", "mark" or ""), article from here
+    stack: list[_Place] = [_Place()]
+    open_: dict[str, list[int]] = {}  # the places of the open elements of a tag on the stack
+    walls: list[int] = [0]  # the places of the open block elements
     parts: list[str] = []
     links: list[str] = []
-    state = {"inside": False, "around": False, "heading": False, "anchor": False}
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             link = len(" ".join(html.unescape("".join(links)).split()))
-            out.append(Block(text, link, state["inside"], state["around"], state["heading"]))
+            at = stack[-1]
+            out.append(Block(text, link, at.inside, at.fixed or at.named, at.heading, at.weak))
         parts.clear()
         links.clear()
 
-    def refresh() -> None:
-        last = max((i for i, s in enumerate(stack) if s[2]), default=-1)
-        state["inside"] = last >= 0
+    def close(place: int) -> None:
+        while len(stack) > place:
+            open_[stack.pop().tag].pop()
+        while walls[-1] >= place:
+            walls.pop()
+
+    def begin(tag: str, attributes: str) -> None:
+        up = stack[-1]
+        weight, marks = _marked(attributes) if tag not in ("html", "body") else (0, frozenset())
+        article = tag in INSIDE
+        if up.inside or article:
+            # A header in an article is the article's.
+            marks -= {"header"}
+            weight = weight if marks else 0
+        fixed = up.fixed or tag in AROUND or (tag == "header" and not up.inside) or weight == 2 and bool(READERS & marks)
         # A marked wrapper around a whole article says nothing about the article.
-        state["around"] = any(s[1] == "tag" or s[1] and i > last for i, s in enumerate(stack))
-        state["heading"] = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)
-        state["anchor"] = any(s[0] == "a" for s in stack)
+        named = weight == 2 or up.named and not article
+        weak = weight == 1 or up.weak and not article
+        open_.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            walls.append(len(stack))
+        stack.append(_Place(tag, up.inside or article, fixed, named, weak, up.heading or tag in HEADINGS, up.anchor or tag == "a"))
 
-    at = 0
+    at, headed, cdata = 0, False, page.rfind("]]>")
     while at < len(page):
         m = _TOKEN.match(page, at)
-        at = m.end()
+        start, at = at, m.end()
         tag = m[2]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 parts.append(m[0])
-                if state["anchor"]:
+                if stack[-1].anchor:
                     links.append(m[0])
-            elif m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:-3]))
+            elif m[0].startswith("<![CDATA[") and start < cdata:
+                end = page.index("]]>", start)
+                parts.append(html.escape(page[start + 9 : end]))
+                at = end + 3
             continue
         tag = tag.lower()
         if tag in SILENT and not m[1]:
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and not (tag == "head" and headed):
                 end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at)
                 if tag == "head":
                     # An unclosed head must not swallow the page.
+                    headed = True
                     body = re.compile(r"<body\b", re.I).search(page, at)
                     at = min(end.end(), body.start() if body else end.end()) if end[0] or body else at
                 else:
@@ -120,37 +180,42 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            places = open_.get(tag)
+            if places and (tag in BLOCKS or places[-1] > walls[-1]):
+                close(places[-1])
         elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS):
-            if tag == "p" and stack and any(s[0] == "p" for s in stack):
-                while stack and stack[-1][0] not in BLOCKS:
-                    stack.pop()
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            held = any(s[2] for s in stack)
-            by_tag = tag in AROUND or (tag == "header" and not held)
-            by_mark = tag not in ("html", "body", *INSIDE) and _marked(m[3])
-            stack.append((tag, "tag" if by_tag else "mark" if by_mark else "", tag in INSIDE))
-        refresh()
+            if tag in ("p", "li") and stack[walls[-1]].tag == tag:
+                close(walls[-1])
+            begin(tag, m[3])
     flush()
     return out
 
 
-def _first(b: Block) -> str:
-    """The label of a block by itself: good, bad or undecided (near: undecided, but much like text)."""
+def _size(text: str) -> int:
+    """The length of a text as spaced scripts have it."""
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _density(text: str) -> float:
+    """The share of stop words among the words of a text."""
+    found = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+
+
+def _first(b: Block, spoken: bool) -> str:
+    """The label of a block by itself: good, bad or undecided (near: undecided, but much like text). ``spoken``: whether the page has stop
+    words; of a page in another language length and links alone tell text."""
     if b.around or b.link > LINKS * len(b.text):
         return "bad"
-    if len(b.text) < SHORT:
-        return "bad" if b.link and not b.inside else "short"
-    found = _WORD.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+    size = _size(b.text)
+    if size < SHORT:
+        return "bad" if (b.link or b.weak) and not b.inside else "short"
+    density = _density(b.text) if spoken else STOP_HIGH
+    if b.weak and not b.inside:
+        # A name that may mark boilerplate asks for more: running text, and good neighbours.
+        return "near" if size > LONG and density >= STOP_HIGH else "bad"
     if density >= STOP_HIGH:
-        return "good" if len(b.text) > LONG else "near"
+        return "good" if size > LONG else "near"
     if density >= STOP_LOW:
         return "near"
     return "short" if b.inside else "bad"
@@ -164,7 +229,8 @@ def classify(found: list[Block]) -> list[Block]:
     article are good. Near blocks are good inside an article, and on a page without article if a neighbour is good. Where an
     article has good blocks, nothing outside it is good.
     """
-    first = [_first(b) for b in found]
+    spoken = any(not b.around and _density(b.text) >= STOP_LOW for b in found if _size(b.text) >= SHORT)
+    first = [_first(b, spoken) for b in found]
     article = any(b.inside and not b.around for b in found)
     for side in (True, False):
         mine = [i for i, b in enumerate(found) if b.inside == side]
