@@ -26,8 +26,12 @@ TELLING = 40.0
 TEMPER = 0.5
 #: Targets count as met within this share of all words.
 TOLERANCE = 1e-3
-#: Gradient steps after which a fit that has neither met its targets nor come to rest raises an error.
-MOST_STEPS = 200
+#: Weight of the squared distance of rates from 1, a document counting by its words, beside that of the sums from their targets (as a
+#: share of the largest eigenvalue of the domains' Gram matrix). It decides among rates that do alike, and keeps a fit from
+#: dropping most of a corpus for a domain that its texts hardly tell.
+RIDGE = 3e-4
+#: Gradient steps after which a fit that has not come to rest raises an error.
+MOST_STEPS = 100
 #: A limit on rates for callers that want one (the usual limit on repeated epochs); without one rates have no upper bound.
 MOST_RATE = 4.0
 _LOG = logging.getLogger(__name__)
@@ -132,20 +136,17 @@ def _evidence(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Rates:
-    """Rates as the start value 1 and the steps taken since: all that differs between documents is their own row. ``totals``: the sums
+    """Rates as what the gradient steps add up to (``move``): all that differs between documents is their own row. ``totals``: the sums
     of the domains at these rates; ``met``: whether they are within the tolerance of the targets."""
 
-    moves: list[np.ndarray]
+    move: np.ndarray
     most: float
     totals: np.ndarray | None = None
     met: bool = False
 
     def __call__(self, a: np.ndarray) -> np.ndarray:
-        """The rates of documents with expected domain tokens ``a``."""
-        share, r = _shares(a), np.ones(len(a))
-        for m in self.moves:
-            r = _moved(r, share, m, self.most)
-        return r
+        """The rates of documents with expected domain tokens ``a``: 1 and all steps, projected to the bounds."""
+        return np.clip(1.0 - _shares(a) @ self.move, 0.0, self.most)
 
 
 def _shares(a: np.ndarray) -> np.ndarray:
@@ -153,70 +154,66 @@ def _shares(a: np.ndarray) -> np.ndarray:
     return np.divide(a, size, out=np.zeros_like(a), where=size > 0)
 
 
-def _moved(r: np.ndarray, share: np.ndarray, move: np.ndarray, most: float) -> np.ndarray:
-    return np.clip(r - share @ move, 0.0, most)
+def _potential(u: np.ndarray, most: float) -> np.ndarray:
+    """The function of a document's step ``u`` whose derivative is the negative of its rate: of the lowest sum at the best steps."""
+    inside = np.clip(u, 1.0 - most, 1.0)
+    below = np.where(u < 1.0 - most, u - inside, 0.0)
+    return inside * inside / 2 - inside - (most * below if np.isfinite(most) else 0.0)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, tolerance: float = TOLERANCE, most_rate: float | None = None, most_steps: int = MOST_STEPS) -> Rates:
+def fit_rates(members: DataFrame, targets: np.ndarray, tolerance: float = TOLERANCE, most_rate: float | None = None, ridge: float = RIDGE, most_steps: int = MOST_STEPS) -> Rates:
     """Rates r, from 0 (to ``most_rate``, if given), of the rows of ``members`` (tokens array<double>: expected tokens by domain) for which the sums
-    of r * tokens are closest to ``targets`` by squares, from r = 1, by projected gradient steps in the metric that weighs a
-    document by its tokens (long texts do not move more than short ones).
-
-    Each step is one pass that sums, over the partitions, the domain totals at several lengths of step at once; the driver
-    sees those sums only and takes the best. The shortest length, the inverse of the largest eigenvalue of the domains' Gram
-    matrix, always comes closer; the others go further along the gradient, or along it as the Gram matrix of the documents
-    that are at no bound turns it. The fit ends when the targets are met within ``tolerance`` of their sum, or when steps no
-    longer come closer (then the rates are the closest there are: a target that can't be reached); a fit that does neither
-    in ``most_steps`` raises RuntimeError.
+    of r * tokens are closest to ``targets`` by squares, with ``ridge`` towards r = 1 (see ``RIDGE``), by projected gradient
+    steps in the metric that weighs a document by its tokens (long texts do not move more than short ones).
+
+    The gradient of a document is its domain shares times the gaps of the sums, so the steps of all documents add up to one
+    vector of the domains, and rates are 1 less a document's part in it, projected to the bounds. A step is one pass that
+    sums, over the partitions, the domain totals at several lengths of step at once, along the gradient and as the Gram
+    matrix of the documents at no bound turns it; the driver sees those sums only and takes the length that lowers the
+    convex function of the steps most. The fit ends when the gradient is within a tenth of ``tolerance`` of the targets' sum (``met`` tells whether
+    the targets are within ``tolerance`` then); one that does not in ``most_steps`` raises RuntimeError.
     """
     k, most = len(targets), np.inf if most_rate is None else most_rate
 
-    def sums(before: list[np.ndarray], tries: list[np.ndarray]) -> np.ndarray:
+    def sums(tries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(potential, totals and Gram matrix of the documents at no bound) at each of ``tries``; the Gram matrix of all."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((len(tries), k + k * k))
+            out = np.zeros((len(tries), 1 + k + k * k))
             whole = np.zeros((k, k))
             for batch in batches:
                 if batch.num_rows:
                     a = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, k)
-                    share, r = _shares(a), Rates(before, most)(a)
+                    share = _shares(a)
                     whole += a.T @ share
                     for i, m in enumerate(tries):
-                        at = _moved(r, share, m, most)
-                        out[i, :k] += a.T @ at
-                        # Documents at a bound are not part of the curvature.
-                        out[i, k:] += (a.T @ (share * ((at > 0) & (at < most))[:, None])).ravel()
+                        u = share @ m
+                        r = np.clip(1.0 - u, 0.0, most)
+                        free = (r > 0) & (r < most)
+                        out[i] += np.concatenate(([a.sum(axis=1) @ _potential(u, most)], a.T @ r, (a.T @ (share * free[:, None])).ravel()))
             flat = np.concatenate((out.ravel(), whole.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), type=pa.int32()), pa.array(flat)], names=["i", "v"])
 
         got = members.select("tokens").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(len(tries) * (k + k * k) + k * k)
+        flat = np.zeros(len(tries) * (1 + k + k * k) + k * k)
         for row in got:
-            out[row["i"]] = row["v"]
-        return out
+            flat[row["i"]] = row["v"]
+        return flat[: -k * k].reshape(len(tries), -1), flat[-k * k :].reshape(k, k)
 
-    moves: list[np.ndarray] = []
-    tries, still = [np.zeros(k)], 0
-    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    scale = max(float(targets.sum()), 1.0)
+    tries = [np.zeros(k)]
     for _ in range(most_steps + 1):
-        got = sums(moves, tries)
-        each, whole = got[: len(tries) * (k + k * k)].reshape(len(tries), -1), got[-k * k :].reshape(k, k)
-        far = ((each[:, :k] - targets) ** 2).sum(axis=1)
-        i = int(far.argmin())
-        if best is None or far[i] < best[0]:
-            still = still + 1 if best is not None and far[i] > 0.9999 * best[0] else 0
-            moves = [*moves, tries[i]]
-            best = (float(far[i]), each[i, :k], each[i, k:].reshape(k, k))
-        else:
-            still = 3
-        gap, free = best[1] - targets, best[2]
-        met = bool(np.abs(gap).max(initial=0.0) <= tolerance * max(targets.sum(), 1.0))
-        if met or still >= 3:
-            return Rates(moves, most, best[1], met)
+        each, whole = sums(tries)
         top = float(np.linalg.eigvalsh((whole + whole.T) / 2).max())
-        if top <= 0:
-            return Rates(moves, most, best[1], met)
-        turned = np.linalg.pinv((free + free.T) / 2, rcond=1e-6, hermitian=True) @ gap
-        tries = [gap / top * 4.0**i for i in range(8)] + [turned * 0.5**i for i in range(5)]
+        rho = ridge * top
+        i = int(np.argmin([s[0] + m @ targets + rho / 2 * (m @ m) for s, m in zip(each, tries, strict=True)]))
+        move, totals, free = tries[i], each[i, 1 : k + 1], each[i, k + 1 :].reshape(k, k)
+        gap = totals - targets
+        slope = gap - rho * move
+        if top <= 0 or np.abs(slope).max() <= 0.1 * tolerance * scale:
+            return Rates(move, most, totals, bool(np.abs(gap).max() <= tolerance * scale))
+        turned = np.linalg.solve((free + free.T) / 2 + rho * np.eye(k), slope)
+        tries = [move, *(move + turned * 0.5**j for j in range(6)), *(move + slope / (top + rho) * 4.0**j for j in range(6))]
     raise RuntimeError(f"rates didn't settle in {most_steps} steps")
 
 
