@@ -96,7 +96,8 @@ def ratios(rows, trusted, buckets=1 << 16):
     for (d, _), g in zip(rows, grams, strict=True):
         own, total = Counter(g), 0.0
         for b, n in own.items():
-            t, r = target[b] - (n if d in trusted else 0), (raw[b] - n) * q
+            off = n if raw[b] <= quality_rules.OFTEN else 1
+            t, r = target[b] - (off if d in trusted else 0), (raw[b] - off) * q
             total += n * (math.log((t + 1) / (r + 1)) + r * (1 - q) / (2 * (r + 1) ** 2))
         out.append(total / len(g) if g and q else 0.0)
     return out
@@ -106,7 +107,7 @@ def test_quality_ratio_and_verdict_against_brute_force(spark):
     rng = random.Random(3)
     say = "the of and a lorem ipsum dolor sit amet".split()
     rows = [(i, " ".join(rng.choice(say) + str(rng.randint(0, 3)) for _ in range(rng.randint(3, 60)))) for i in range(40)]
-    rows += [(100 + i, " ".join(f"junk{rng.randint(0, 30)}###" for _ in range(40))) for i in range(40)] + [(200, None), (201, ""), (202, "own own own own word word word 1 2 3 4 5 6 7 8 9"), (None, "the of and a lorem ipsum dolor sit amet 9"), (3, rows[3][1])]
+    rows += [(100 + i, " ".join(f"junk{rng.randint(0, 30)}###" for _ in range(40))) for i in range(40)] + [(200, None), (201, ""), (202, "own own own own word word word 1 2 3 4 5 6 7 8 9"), (203, "often " * 5_000 + "seldom seldom seldom"), (None, "the of and a lorem ipsum dolor sit amet 9"), (3, rows[3][1])]
     trusted = {i for i in range(20)} | {202}
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_model", F.lit(1)).withColumn("target", F.lit(2)).withColumn("_q", F.lit(3)).withColumn("id", F.lit(4))
     ids = spark.createDataFrame([(i,) for i in [*trusted, None, 5]], "doc_id long")
