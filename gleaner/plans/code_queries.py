@@ -16,12 +16,13 @@ from gleaner.sources import git
 _FILE = "'src/m' || (p_partkey % 40) || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.ts' END"
 _NAME = "CASE p_partkey % 4 WHEN 0 THEN '_h' WHEN 1 THEN 'Run' ELSE 'do' END || p_partkey"
 _TYPE = "CASE p_partkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'method' WHEN 2 THEN 'struct' ELSE 'function' END"
-_OLD = f"{_FILE} AS file, {_NAME} AS name, {_TYPE} AS type, p_size AS line, 1 AS column_, 'def ' || p_size AS signature, CASE WHEN p_partkey % 6 = 0 THEN 'P' END AS parent, CASE WHEN p_partkey % 8 = 0 THEN p_brand END AS doc"
+# Every seventh had another name before, and another one has now.
+_OLD = f"{_FILE} AS file, CASE WHEN p_partkey % 7 = 0 THEN 'was' || p_partkey ELSE {_NAME} END AS name, {_TYPE} AS type, p_size AS line, 1 AS column_, 'def ' || p_size AS signature, CASE WHEN p_partkey % 6 = 0 THEN 'P' END AS parent, CASE WHEN p_partkey % 8 = 0 THEN p_brand END AS doc"
 _NEW = (
-    f"{_FILE} AS file, {_NAME} AS name, {_TYPE} AS type, p_size + CASE WHEN p_partkey % 7 = 2 THEN 5 ELSE 0 END AS line, 1 AS column_, 'def ' || (p_size + CASE WHEN p_partkey % 7 = 3 THEN 1 ELSE 0 END) AS signature, "
+    f"{_FILE} AS file, CASE WHEN p_partkey % 7 = 1 THEN 'now' || p_partkey ELSE {_NAME} END AS name, {_TYPE} AS type, p_size + CASE WHEN p_partkey % 7 = 2 THEN 5 ELSE 0 END AS line, 1 AS column_, 'def ' || (p_size + CASE WHEN p_partkey % 7 = 3 THEN 1 ELSE 0 END) AS signature, "
     "CASE WHEN p_partkey % 6 = 0 AND p_partkey % 7 <> 4 THEN 'P' WHEN p_partkey % 7 = 4 THEN 'Q' END AS parent, CASE WHEN p_partkey % 8 = 0 AND p_partkey % 7 <> 5 THEN p_brand END AS doc"
 )
-_SYMBOL_SQL = f"""o AS (SELECT {_OLD} FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT {_NEW} FROM part WHERE p_partkey % 7 <> 1),
+_SYMBOL_SQL = f"""o AS (SELECT {_OLD} FROM part), n AS (SELECT {_NEW} FROM part),
     ch AS (SELECT coalesce(n.name, o.name) AS name, coalesce(n.file, o.file) AS file, coalesce(n.type, o.type) AS symbol_type, n.line AS line, o.signature AS old_signature, n.signature AS new_signature,
         CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' WHEN o.signature IS DISTINCT FROM n.signature THEN 'signature_changed'
              WHEN o.parent IS DISTINCT FROM n.parent AND o.parent IS NOT NULL THEN 'parent_changed' WHEN o.doc IS DISTINCT FROM n.doc THEN 'doc_changed' WHEN o.line <> n.line THEN 'modified' END AS change_type
@@ -30,9 +31,9 @@ _SYMBOL_SQL = f"""o AS (SELECT {_OLD} FROM part WHERE p_partkey % 7 <> 0), n AS
         THEN 'breaking' ELSE 'non-breaking' END AS severity FROM ch WHERE change_type IS NOT NULL)"""
 
 
-def _symbols(spark: SparkSession, sf_dir: str, expr: str, keep: str) -> DataFrame:
+def _symbols(spark: SparkSession, sf_dir: str, expr: str) -> DataFrame:
     # A first, stale row for some symbols: the last of a key counts.
-    base = table(spark, sf_dir, "part").where(keep)
+    base = table(spark, sf_dir, "part")
     cols = expr.replace("column_", "`column`")
     rows = base.selectExpr(*_split(cols), "2 AS ord")
     stale = base.where("p_partkey % 9 = 0").selectExpr(*_split(cols), "1 AS ord").withColumn("signature", F.lit("stale"))
@@ -51,7 +52,7 @@ def _split(expr: str) -> list[str]:
 
 
 def _symbol_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.symbol_changes(_symbols(spark, sf_dir, _OLD, "p_partkey % 7 <> 0"), _symbols(spark, sf_dir, _NEW, "p_partkey % 7 <> 1"))
+    return diff.symbol_changes(_symbols(spark, sf_dir, _OLD), _symbols(spark, sf_dir, _NEW))
 
 
 @query("j16_w3_o1_symbol_changes", f"WITH {_SYMBOL_SQL} SELECT name, file, symbol_type, line, old_signature, new_signature, change_type, severity FROM sc")
@@ -60,10 +61,10 @@ def j16_w3_o1_symbol_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("name", "file", "symbol_type", "line", "old_signature", "new_signature", "change_type", "severity")
 
 
-_FIELD = "'C' || (p_partkey % 30) AS parent_symbol, 'f' || p_partkey AS name, 'cfg/' || (p_partkey % 5) || '.py' AS file"
-_FOLD = f"{_FIELD}, CASE p_partkey % 3 WHEN 0 THEN 'str' WHEN 1 THEN 'int' END AS field_type, 'd' || p_size AS default_value, p_partkey % 2 = 0 AS is_optional"
-_FNEW = f"{_FIELD}, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 7 = 2 THEN 'str | None' ELSE 'str' END WHEN 1 THEN CASE WHEN p_partkey % 7 = 3 THEN 'str' ELSE 'int' END END AS field_type, 'd' || (p_size + CASE WHEN p_partkey % 7 = 4 THEN 1 ELSE 0 END) AS default_value, p_partkey % 2 = 0 AND p_partkey % 7 <> 5 AS is_optional"
-_FIELD_SQL = f"""o AS (SELECT {_FOLD} FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT {_FNEW} FROM part WHERE p_partkey % 7 <> 1),
+_FIELD = "'C' || (p_partkey % 30) AS parent_symbol, CASE WHEN p_partkey % 7 = {} THEN '{}' ELSE 'f' END || p_partkey AS name, 'cfg/' || (p_partkey % 5) || '.py' AS file"
+_FOLD = f"{_FIELD.format(0, 'was')}, CASE p_partkey % 3 WHEN 0 THEN 'str' WHEN 1 THEN 'int' END AS field_type, 'd' || p_size AS default_value, p_partkey % 2 = 0 AS is_optional"
+_FNEW = f"{_FIELD.format(1, 'now')}, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 7 = 2 THEN 'str | None' ELSE 'str' END WHEN 1 THEN CASE WHEN p_partkey % 7 = 3 THEN 'str' ELSE 'int' END END AS field_type, 'd' || (p_size + CASE WHEN p_partkey % 7 = 4 THEN 1 ELSE 0 END) AS default_value, p_partkey % 2 = 0 AND p_partkey % 7 <> 5 AS is_optional"
+_FIELD_SQL = f"""o AS (SELECT {_FOLD} FROM part), n AS (SELECT {_FNEW} FROM part),
     b AS (SELECT coalesce(n.name, o.name) AS field_name, coalesce(n.parent_symbol, o.parent_symbol) AS parent_symbol, coalesce(n.file, o.file) AS file, o.field_type AS t0, n.field_type AS t1, o.default_value AS d0, n.default_value AS d1,
         o.name IS NULL AS fresh, n.name IS NULL AS gone, coalesce(o.is_optional AND NOT n.is_optional, false) AS tight FROM o FULL JOIN n USING (parent_symbol, name, file)),
     c AS (SELECT *, CASE WHEN fresh THEN 'added' WHEN gone THEN 'removed' WHEN t0 IS DISTINCT FROM t1 THEN 'type_changed' WHEN d0 IS DISTINCT FROM d1 THEN 'default_changed' WHEN tight THEN 'type_changed' END AS change_type FROM b),
@@ -77,8 +78,8 @@ _FIELD_SQL = f"""o AS (SELECT {_FOLD} FROM part WHERE p_partkey % 7 <> 0), n AS
         CASE change_type WHEN 'added' THEN 'add_field_doc' WHEN 'removed' THEN 'remove_field_doc' ELSE 'update_field_doc' END AS documentation_action FROM fc""",
 )
 def j17_o2_config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snap = lambda expr, keep: table(spark, sf_dir, "part").where(keep).selectExpr(*_split(expr), "1 AS ord")
-    return diff.ordered_config_changes(diff.config_changes(snap(_FOLD, "p_partkey % 7 <> 0"), snap(_FNEW, "p_partkey % 7 <> 1")))
+    snap = lambda expr: table(spark, sf_dir, "part").selectExpr(*_split(expr), "1 AS ord")
+    return diff.ordered_config_changes(diff.config_changes(snap(_FOLD), snap(_FNEW)))
 
 
 _ACTION_SQL = " ".join(f"WHEN change_type = '{a}' AND symbol_type = '{b}' THEN '{{{i}}}'" for i, (a, b) in enumerate(diff.ACTIONS))
@@ -154,7 +155,7 @@ def p10_bash_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # References to source files: by exact path, by the end of a path, or to nothing.
-_REFS = f"refs AS (SELECT 'd' || (p_partkey % 50) AS doc, 'file_path' AS type, CASE p_partkey % 3 WHEN 0 THEN {PATH} WHEN 1 THEN regexp_replace({PATH}, '^[^/]*/', '') ELSE 'nowhere/x' || p_partkey || '.py' END AS reference FROM part WHERE p_partkey % 2 = 0)"
+_REFS = f"refs AS (SELECT 'd' || (p_partkey % 50) AS doc, 'file_path' AS type, CASE p_partkey % 3 WHEN 0 THEN {PATH} WHEN 1 THEN regexp_replace({PATH}, '^[^/]*/', '') ELSE 'nowhere/x' || p_partkey || '.py' END AS reference FROM part)"
 
 
 @query(
@@ -165,7 +166,7 @@ _REFS = f"refs AS (SELECT 'd' || (p_partkey % 50) AS doc, 'file_path' AS type, C
 )
 def j10_j11_path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "part")
-    refs = base.where("p_partkey % 2 = 0").selectExpr("'d' || (p_partkey % 50) AS doc", "'file_path' AS type", f"CASE p_partkey % 3 WHEN 0 THEN {PATH} WHEN 1 THEN regexp_replace({PATH}, '^[^/]*/', '') ELSE 'nowhere/x' || p_partkey || '.py' END AS reference")
+    refs = base.selectExpr("'d' || (p_partkey % 50) AS doc", "'file_path' AS type", f"CASE p_partkey % 3 WHEN 0 THEN {PATH} WHEN 1 THEN regexp_replace({PATH}, '^[^/]*/', '') ELSE 'nowhere/x' || p_partkey || '.py' END AS reference")
     return references.match_paths(refs, base.selectExpr(f"{PATH} AS path"))
 
 
@@ -217,11 +218,11 @@ def a17_u4_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a18_reference_density",
-    """WITH n AS (SELECT c_custkey AS doc, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON o_custkey = c_custkey GROUP BY 1)
+    """WITH n AS (SELECT c_custkey AS doc, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
     SELECT CASE WHEN n = 0 THEN '0' WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' ELSE '11+' END AS bucket, count(*) AS documents, CAST(sum(n) AS BIGINT) AS "references" FROM n GROUP BY 1""",
 )
 def a18_reference_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").selectExpr("o_custkey AS doc")
+    refs = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc")
     return references.reference_density(table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc"), refs)
 
 

@@ -9,6 +9,7 @@ from gleaner.functions import markdown, text, transforms
 from gleaner.operators import conventions, links, quality, references
 from gleaner.plans.carriers import ALT, DOC, LANG, LINK, MARK, NL, SUB, SUB_LEVEL, TEXT, TITLE, table
 from gleaner.plans.carriers import markdown as part_docs
+from gleaner.plans.code_queries import _COVER_SQL, a4_coverage
 from gleaner.plans.registry import query
 
 _DOCS = f"d AS (SELECT p_partkey AS k, p_size AS s, {DOC} AS doc, {TEXT} AS text, ({TITLE}) <> '' AS titled, p_brand AS brand, {SUB_LEVEL} AS level, {ALT} AS alt, {LINK} AS link, {MARK} AS mark, {LANG} AS lang FROM part)"
@@ -249,8 +250,15 @@ def a13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a15_overall_scores",
-    f"""WITH {_DOCS} SELECT * FROM (VALUES ('relevance', 'fair'), ('accuracy', 'good'), ('purposefulness', 'good'), ('uniqueness', 'fair'), ('consistency', 'fair'), ('clarity', 'good'), ('structure', 'fair')) v(criterion, score)
-    CROSS JOIN (SELECT (3 * 3 + 4 * 2 + 3) / 8.0 AS average, 'good' AS overall)""",
+    f"""WITH {_DOCS}, {_HEADERS}, {_COVER_SQL}, cov AS (SELECT round_even(count(*) FILTER (name IN (SELECT name FROM doc) OR name IN (SELECT name FROM within_)) * 100.0 / count(*), 1) AS c FROM s),
+    m AS (SELECT (SELECT c FROM cov) AS c, (SELECT sum(CASE WHEN k % 11 = 0 THEN 2 WHEN k % 13 = 0 THEN 10 ELSE 0 END) / 10.0 FROM d) AS old, (SELECT count(*) FROM d) AS files,
+        (SELECT count(*) FROM (SELECT 1 FROM h WHERE level <= 2 GROUP BY lower(trim(text)) HAVING count(*) > 1)) AS topics, (SELECT count(*) FROM d WHERE lang = '') AS bare,
+        (SELECT count(*) FROM d WHERE titled AND level > 2) AS jumps, (SELECT max(level) FROM h) AS deep, (SELECT count(*) FROM d WHERE NOT titled) AS bad),
+    r AS (SELECT unnest(['relevance', 'accuracy', 'purposefulness', 'uniqueness', 'consistency', 'clarity', 'structure']) AS criterion,
+        unnest([CASE WHEN old <= 10 THEN 'good' ELSE 'fair' END, CASE WHEN files = 0 OR c < 50 THEN 'fair' WHEN c >= 80 AND files > 10 THEN 'excellent' ELSE 'good' END, 'good',
+            CASE WHEN topics < 5 THEN 'good' ELSE 'fair' END, CASE WHEN bare < 5 THEN 'good' ELSE 'fair' END, 'good', CASE WHEN jumps < 3 AND deep <= 4 AND bad = 0 THEN 'good' ELSE 'fair' END]) AS score FROM m),
+    t AS (SELECT (sum(CASE score WHEN 'excellent' THEN 4 WHEN 'good' THEN 3 WHEN 'fair' THEN 2 ELSE 1 END) + (SELECT CASE WHEN c >= 75 THEN 4 WHEN c >= 50 THEN 3 WHEN c >= 30 THEN 2 ELSE 1 END FROM m)) / 8.0 AS average FROM r)
+    SELECT criterion, score, average, CASE WHEN average >= 3.5 THEN 'excellent' WHEN average >= 2.5 THEN 'good' WHEN average >= 1.5 THEN 'fair' ELSE 'poor' END AS overall FROM r, t""",
 )
 def a15_overall_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = part_docs(spark, sf_dir)
@@ -267,8 +275,9 @@ def a15_overall_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.structure(docs, kind("header")),
     ):
         m = m.withColumns({c: other.select(c).scalar() for c in other.columns})
-    scores = quality.criterion_scores(m.withColumn("coverage", F.lit(60.0)))
-    total = quality.overall_score(scores, 60.0)
+    share = a4_coverage(spark, sf_dir).where("type is null").select("percentage").first()[0]
+    scores = quality.criterion_scores(m.withColumn("coverage", F.lit(share)))
+    total = quality.overall_score(scores, share)
     return scores.withColumns({c: total.select(c).scalar() for c in total.columns})
 
 
@@ -317,7 +326,7 @@ def x12_strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x7_x8_k7_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = part_docs(spark, sf_dir)
-    moves = docs.where("p_partkey % 7 = 0").selectExpr("doc AS old", "replace(doc, 'docs/d0/', 'docs/manual/') AS new")
+    moves = docs.where("doc LIKE 'docs/d0/%'").selectExpr("doc AS old", "replace(doc, 'docs/d0/', 'docs/manual/') AS new")
     got = transforms.migrate(docs, moves)
     return got.select("doc", "new_doc", "changed", F.regexp_extract("text", r"\[more\]\(([^)]*)\)", 1).alias("link"))
 

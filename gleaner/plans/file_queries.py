@@ -11,10 +11,11 @@ from gleaner.plans.carriers import DOC, PATH, table
 from gleaner.plans.carriers import paths as part_paths
 from gleaner.plans.registry import query
 
-_SNAPSHOTS = """base AS (SELECT 'doc/' || doc_id AS path,
+# Every seventh document was elsewhere before, every eleventh is now, every fifth has changed.
+_SNAPSHOTS = """base AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'was/' ELSE 'doc/' END || doc_id AS path,
                          sha256(CASE WHEN doc_id % 5 = 0 THEN text || '~' ELSE text END) AS sha256
-                  FROM documents WHERE doc_id % 7 <> 0),
-         cur AS (SELECT 'doc/' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 11 <> 0)"""
+                  FROM documents),
+         cur AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'now/' ELSE 'doc/' END || doc_id AS path, sha256(text) AS sha256 FROM documents)"""
 _CHANGES = """SELECT coalesce(c.path, b.path) AS path,
            CASE WHEN b.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' ELSE 'modified' END AS change_type
     FROM cur c FULL OUTER JOIN base b ON c.path = b.path
@@ -23,9 +24,9 @@ _CHANGES = """SELECT coalesce(c.path, b.path) AS path,
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("doc/"), F.col("doc_id")).alias("path")
+    path = lambda n, other: F.concat(F.when(F.col("doc_id") % n == 0, other).otherwise("doc/"), F.col("doc_id")).alias("path")
     old = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
-    return docs.where("doc_id % 11 <> 0").select(path, F.sha2("text", 256).alias("sha256")), docs.where("doc_id % 7 <> 0").select(path, F.sha2(old, 256).alias("sha256"))
+    return docs.select(path(11, "now/"), F.sha2("text", 256).alias("sha256")), docs.select(path(7, "was/"), F.sha2(old, 256).alias("sha256"))
 
 
 @query("j1_change_detection", f"WITH {_SNAPSHOTS} {_CHANGES}")
@@ -38,9 +39,9 @@ def j2_changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.changed_since(*_snapshots(spark, sf_dir))
 
 
-@query("a21_change_share", f"WITH {_SNAPSHOTS} SELECT count(*) AS changes, round_even(count(*) * 100.0 / 1000, 1) AS change_percentage FROM ({_CHANGES})")
+@query("a21_change_share", f"WITH {_SNAPSHOTS} SELECT count(*) AS changes, round_even(count(*) * 100.0 / (SELECT count(*) FROM documents), 1) AS change_percentage FROM ({_CHANGES})")
 def a21_change_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.change_share(changes.snapshot_changes(*_snapshots(spark, sf_dir)), 1000)
+    return changes.change_share(changes.snapshot_changes(*_snapshots(spark, sf_dir)), table(spark, sf_dir, "documents").count())
 
 
 def _like(column: str, parts: tuple[str, ...]) -> str:
@@ -133,8 +134,8 @@ MAPPINGS = {"cli": "docs/cli.md", "api": "docs/api.md", "config": "docs/config.m
 
 @query(
     "j3_j4_a14_affected_docs",
-    f"""WITH f AS (SELECT {PATH} AS file, p_partkey AS ord, {_change_category_sql(f"({PATH})")} AS category FROM part WHERE p_partkey % 10 < 3),
-        edges AS (SELECT DISTINCT {PATH} AS file, 'docs/d0/part' || (p_partkey // 7 * 7 % 700) || '.md' AS doc FROM part WHERE p_partkey % 4 = 0),
+    f"""WITH f AS (SELECT {PATH} AS file, p_partkey AS ord, {_change_category_sql(f"({PATH})")} AS category FROM part),
+        edges AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'other/' END || {PATH} AS file, 'docs/d0/part' || (p_partkey // 7 * 7 % 700) || '.md' AS doc FROM part),
         hit AS (
             SELECT e.doc, f.file, ord, 'Code change: ' || f.file AS reason, 1 AS r FROM f JOIN edges e USING (file) WHERE category <> 'documentation'
             UNION ALL
@@ -147,8 +148,8 @@ MAPPINGS = {"cli": "docs/cli.md", "api": "docs/api.md", "config": "docs/config.m
 )
 def j3_j4_a14_affected_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = part_paths(spark, sf_dir)
-    changed = f.where("p_partkey % 10 < 3").select(F.col("path").alias("file"), F.col("p_partkey").alias("ord"), paths.change_category(F.col("path")).alias("category"))
-    edges = f.where("p_partkey % 4 = 0").selectExpr("path AS file", "'docs/d0/part' || (p_partkey div 7 * 7 % 700) || '.md' AS doc")
+    changed = f.select(F.col("path").alias("file"), F.col("p_partkey").alias("ord"), paths.change_category(F.col("path")).alias("category"))
+    edges = f.selectExpr("CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'other/' END || path AS file", "'docs/d0/part' || (p_partkey div 7 * 7 % 700) || '.md' AS doc")
     docs = table(spark, sf_dir, "part").selectExpr(f"{DOC} AS path")
     return changes.affected_docs(changed, edges, MAPPINGS, docs).withColumn("affected_by", F.array_join("affected_by", ","))
 
