@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +134,29 @@ def shortcodes(line: Column) -> Column:
         texts = F.regexp_extract_all(line, F.lit(pattern), F.lit(2))
         found.append(F.zip_with(kinds, texts, lambda a, b: F.struct(a.alias("type"), F.trim(b).alias("content"))))
     return F.concat(*found)
+
+
+def newer(version: Column, required: str) -> Column:
+    """-1, 0 or 1 as a dotted version is before, equal to or after ``required``, with missing parts as 0; -1 if it is none."""
+    parts = lambda v: F.transform(F.split(v, r"\."), lambda x: x.cast("int"))
+    padded = lambda a: F.concat(a, F.array_repeat(F.lit(0), 8))
+    mine, theirs = padded(parts(version)), padded(parts(F.lit(required)))
+    place = F.array_position(F.zip_with(F.slice(mine, 1, 8), F.slice(theirs, 1, 8), lambda a, b: a != b), True)
+    after = F.when(F.get(mine, F.greatest(place - 1, F.lit(0)).cast("int")) > F.get(theirs, F.greatest(place - 1, F.lit(0)).cast("int")), 1).otherwise(-1)
+    return F.when(version.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.when(place == 0, 0).otherwise(after)).otherwise(-1)
+
+
+def capped(shown: Column, limit: int) -> Column:
+    """K9: a text for display, cut at ``limit`` characters with a note."""
+    note = "\n[cut]"
+    return F.when(F.length(shown) <= limit, shown).otherwise(F.concat(F.substring(shown, 1, limit - len(note)), F.lit(note)))
+
+
+def without_root(error: Column, root: str) -> Column:
+    """An error's text without the project's place on this machine."""
+    return F.regexp_replace(F.replace(error, F.lit(root.rstrip("/") + "/"), F.lit("<project>/")), f"{re.escape(root.rstrip('/'))}(?![^ /])", "<project>/")
+
+
+def accepted_pattern(pattern: Column) -> Column:
+    """whether a glob is not too long, does not lead upwards, and has no repeated groups that could take exponential time."""
+    return (F.length(pattern) <= 512) & ~pattern.rlike(r"\([^)]*[+*][^)]*\)[+*{]") & ~pattern.rlike(r"(^|/)\.\.(/|$)")

@@ -185,6 +185,24 @@ def inverted(edges: DataFrame, key: str, value: str) -> DataFrame:
     return edges.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(value + "s"))
 
 
+def dependency_map(refs: DataFrame, matched: DataFrame, rest: DataFrame, images: DataFrame) -> DataFrame:
+    """K3: rows (section, key, values) of all that is known of a project's dependencies: code by document and documents by code,
+    documents by reference for each type, unmatched references (``rest``), and documents by asset (``images``: doc, src)."""
+    edges = dependencies(matched)
+    row = lambda section, key, value: (section.alias("section"), F.col(key).alias("key"), F.col(value).alias("v"))
+    parts = (
+        edges.select(*row(F.lit("doc_to_code"), "doc", "path")),
+        edges.select(*row(F.lit("code_to_doc"), "path", "doc")),
+        refs.select(*row(F.concat(F.lit("reference:"), "type"), "reference", "doc")),
+        rest.select(*row(F.lit("unmatched"), "reference", "doc")),
+        images.select(*row(F.lit("asset"), "src", "doc")),
+    )
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("section", "key").agg(F.array_sort(F.collect_set("v")).alias("values"))
+
+
 def reference_density(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """(bucket, documents, references) by the number of references of a document: 0, 1-5, 6-10, 11+."""
     n = docs.select("doc").join(refs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")), "doc", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.conventions import Conventions
@@ -64,7 +64,7 @@ def time_limit(spark: SparkSession, seconds: float = TIMEOUT):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def shown(df: DataFrame, what: str, *order: str) -> DataFrame:
+def shown(df: DataFrame, what: str, *order: str | Column) -> DataFrame:
     """The first rows of a report in a stated order."""
     return df.orderBy(*order).limit(SHOWN[what])
 

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from gleaner.plans import code_queries, doc_queries, file_queries  # noqa: E402, F401  (they register themselves)
+from gleaner.plans import code_queries, doc_queries, file_queries, source_queries  # noqa: E402, F401  (they register themselves)
