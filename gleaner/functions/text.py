@@ -38,6 +38,12 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(text, r"(?ms)^```.*?^```", "")
 
 
+def blank_fences(text: Column) -> Column:
+    """The text with empty lines for those of fenced blocks, and without code spans: every other line keeps its number."""
+    pieces = F.transform(F.split(text, "(?m)^```", -1), lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, "[^\n]+", "")).otherwise(F.regexp_replace(x, "`[^`\n]*`", "")))
+    return F.array_join(pieces, "")
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; the n-th is line n."""
     return F.split(text, "\n", -1)

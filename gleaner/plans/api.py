@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import markdown, paths, symbols, transforms
+from gleaner.functions import markdown, paths, symbols, text, transforms
 from gleaner.operators import changes, conventions, coverage, diff, links, quality, references
+from gleaner.plans import guards
 from gleaner.sources import git, project
-from gleaner.sources.snapshots import Snapshots
+from gleaner.sources.snapshots import Snapshots, newer
 
 #: Where a project keeps its state, below its root.
 STATE = ".gleaner"
@@ -28,7 +30,9 @@ class Project:
     settings: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.root = guards.checked_root(self.root)
         self.settings = (project.load_yaml(f"{self.root}/.gleaner.yml") or {}) | self.settings
+        guards.checked_patterns([*(self.settings.get("exclude") or []), *(self.settings.get("sources") or [])])
         self.docs_root = self.settings.get("docs_path") or "docs"
         self.state = Snapshots(self.spark, f"{self.root}/{STATE}")
         self._kept: DataFrame | None = None
@@ -38,7 +42,7 @@ class Project:
 
     def docs(self) -> DataFrame:
         """(doc, text) of the markdown files."""
-        got = project.markdown_files(self.files(), self.docs_root, bool(self.settings.get("include_root_readme")))
+        got = project.markdown_files(self.files(), self.docs_root, bool(self.settings.get("include_root_readme")), ordered=False)
         return got.select(F.col("path").alias("doc"), "text")
 
     def sources(self) -> DataFrame:
@@ -91,13 +95,26 @@ class Project:
     def update_baseline(self) -> dict:
         """Snapshots of files, symbols and dependencies."""
         files = self.files().select("path", "sha256")
-        _, matched, _ = self.dependencies()
+        refs, matched, rest = self.dependencies()
+        images = markdown.elements(self.docs()).where("kind = 'image'").select("doc", F.col("url").alias("src"))
         return {
             "files": self.state.write("files", files, file_count=files.count(), **git.head(self.root)),
             "symbols": self.state.write("symbols", self.symbols()),
             "dependencies": self.state.write("dependencies", references.dependencies(matched)),
+            "dependency_map": self.state.write("dependency_map", references.dependency_map(refs, matched, rest, images)),
         }
 
+    def status(self) -> DataFrame:
+        """One row: changes since the snapshot and their share of its files, its age (days_old, level), and whether it was written by
+        this version or a later one; with what made the row and when."""
+        info = self.state.header("files")
+        if info is None:
+            raise ValueError("no snapshot yet: call init() or update_baseline()")
+        share = changes.change_share(self.detect_changes(), int(info.get("file_count") or 0))
+        now = datetime.now(timezone.utc).isoformat()
+        aged = changes.staleness(share.withColumn("ts", F.lit(info.get("updated_at"))), now).drop("ts")
+        return guards.stamped(aged.withColumn("current_version", F.lit(newer(str(info.get("version"))) >= 0)), "gleaner")
+
     def detect_changes(self, since: str | None = None) -> DataFrame:
         """(file, category, change_type) since the snapshot, or since a commit; nothing is written."""
         if since is not None:
@@ -144,9 +161,12 @@ class Project:
         if "links" in checks:
             every = self.docs().select(F.col("doc").alias("path"))
             keys = links.link_keys(every)
-            found.append(links.broken_links(links.resolve_links(kind("link"), keys)))
+            said = kind("link").select("doc", "ord", "url", "line").unionByName(_html_elements(docs).where("kind = 'link'").select("doc", "ord", "url", "line"))
+            found.append(links.broken_links(links.resolve_links(said, keys)))
         if "assets" in checks:
-            found.append(links.asset_issues(kind("image").selectExpr("doc", "ord", "url AS src", "text AS alt", "line"), self.files()))
+            image = ("doc", "ord", "url AS src", "text AS alt", "line")
+            shown = kind("image").selectExpr(*image).unionByName(_html_elements(docs).where("kind = 'image'").selectExpr(*image))
+            found.append(links.asset_issues(shown, self.files()))
         if "snippets" in checks or "code_syntax" in checks:
             primary = conventions.project_facts(self.files()).first()["language"]
             found.append(symbols.snippet_issues(kind("code_block"), primary))
@@ -211,6 +231,17 @@ class Project:
         return {"changes": self.detect_changes(), "affected": self.affected_docs(), "issues": self.validate(), "scores": self.assess_quality()[0]}
 
 
+def _html_elements(docs: DataFrame) -> DataFrame:
+    """Links and images that documents (doc, text) hold as HTML: (doc, ord, kind, url, text, line), outside of fenced code. ord
+    goes on behind those of markdown elements."""
+    plain = docs.select("doc", F.posexplode(text.lines(text.blank_fences(F.col("text")))).alias("pos", "row"))
+    each = lambda kind, url, alt: F.struct(F.lit(kind).alias("kind"), url.alias("url"), alt.alias("text"))
+    links_ = F.transform(text.html_links(F.col("row")), lambda u: each("link", u, F.lit(None).cast("string")))
+    images = F.transform(text.html_images(F.col("row")), lambda i: each("image", i["src"], F.coalesce(i["alt"], F.lit(""))))
+    rows = plain.where(F.contains("row", F.lit("<"))).select("doc", "pos", F.posexplode(F.concat(links_, images)).alias("n", "e"))
+    return rows.select("doc", (1_000_000 + F.col("pos") * 1_000 + F.col("n")).cast("int").alias("ord"), "e.kind", "e.url", "e.text", (F.col("pos") + 1).cast("int").alias("line"))
+
+
 #: The first documents of a project that has none (K6).
 TEMPLATES = {
     "index.md": "# Documentation\n\nStart with the [guide](guides/getting-started.md), or look things up in the [reference](reference/api.md).\n",

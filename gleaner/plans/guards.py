@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.conventions import Conventions
+from gleaner.sources.project import within  # noqa: F401  (F5, beside the other guards)
 
 MOST_PATTERNS, LONGEST_PATTERN = 50, 512
 #: Seconds an operation may take.
@@ -39,17 +40,6 @@ def checked_patterns(patterns: Iterable[str]) -> list[str]:
     return got
 
 
-def within(root: str, path: str, depth: int = 100) -> bool:
-    """whether a path stays below ``root`` once its links are followed, at most ``depth`` of them."""
-    at = os.path.join(root, path)
-    for _ in range(depth):
-        if not os.path.islink(at):
-            real = os.path.realpath(at)
-            return real == os.path.realpath(root) or real.startswith(os.path.realpath(root) + os.sep)
-        at = os.path.join(os.path.dirname(at), os.readlink(at))
-    raise RecursionError(f"more than {depth} links from {path!r}")
-
-
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float = TIMEOUT):
     """Cancels the Spark jobs of the block when its time is over."""

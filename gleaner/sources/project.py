@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -46,13 +47,27 @@ def _fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size) of all files below ``root``, hidden ones and those that start with an underscore included (Spark's own
-    listing leaves both out, and with them every ``__init__.py``). Links to folders are not followed out of the root."""
+    listing leaves both out, and with them every ``__init__.py``). A file that a link leads to out of the root is not listed.
+    Names and sizes are listed on the driver: a project's, not a data lake's (``scan`` bounds them)."""
     where, base = _fs(root)
     found = where.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
     rows = [(f.path[len(base) :].lstrip("/"), f.size) for f in found if f.type == fs.FileType.File]
+    if isinstance(where, fs.LocalFileSystem):
+        rows = [r for r in rows if within(base, r[0])]
     return spark.createDataFrame(rows, "path string, size long")
 
 
+def within(root: str, path: str, depth: int = 100) -> bool:
+    """whether a path stays below ``root`` once its links are followed, at most ``depth`` of them."""
+    at = os.path.join(root, path)
+    for _ in range(depth):
+        if not os.path.islink(at):
+            real = os.path.realpath(at)
+            return real == os.path.realpath(root) or real.startswith(os.path.realpath(root) + os.sep)
+        at = os.path.join(os.path.dirname(at), os.readlink(at))
+    raise RecursionError(f"more than {depth} links from {path!r}")
+
+
 def scan(
     spark: SparkSession, root: str, excludes: list[str] | None = None, gitignore: str | None = None, max_files: int | None = MAX_FILES, skip_hidden: bool = True, with_text: bool = True
 ) -> DataFrame:
@@ -94,12 +109,14 @@ def scan(
     return got.mapInArrow(read, "path string, size long, sha256 string, text string")
 
 
-def markdown_files(files: DataFrame, docs_root: str = "", include_root_readme: bool = False) -> DataFrame:
-    """The markdown files below ``docs_root``, in order of their paths; the root's readme too if asked for."""
+def markdown_files(files: DataFrame, docs_root: str = "", include_root_readme: bool = False, ordered: bool = True) -> DataFrame:
+    """The markdown files below ``docs_root``, in order of their paths (unless ``ordered`` is false: for plans that go on);
+    the root's readme too if asked for."""
     prefix = docs_root.strip("/") + "/" if docs_root.strip("/") else ""
     inside = F.startswith("path", F.lit(prefix)) & F.lower("path").rlike(r"\.(?:md|markdown)$")
     readme = F.lower("path") == "readme.md"
-    return files.where(inside | readme if include_root_readme else inside).orderBy("path")
+    found = files.where(inside | readme if include_root_readme else inside)
+    return found.orderBy("path") if ordered else found
 
 
 def source_files(files: DataFrame, docs_root: str = "docs", globs: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import os
 import re
 import time
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +65,15 @@ class Snapshots:
             return None
 
     def write(self, kind: str, df: DataFrame, **header) -> dict:
-        """K1, K2, K3: writes a snapshot of ``df`` and makes it the valid one; creation time stays, update time is new."""
+        """K1, K2, K3, K8: writes a snapshot of ``df`` and makes it the valid one; creation time stays, update time is new. In a local
+        folder a lock is held while the valid one is replaced, so that of two writers none reads what the other is replacing."""
         name = f"{kind}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(f"{self.folder}/{name}")
+        local = re.sub("^file:/+", "/", self.folder)
+        with locked(local) if "://" not in local else nullcontext():
+            return self._replace(kind, name, header)
+
+    def _replace(self, kind: str, name: str, header: dict) -> dict:
         now, old = datetime.now(timezone.utc).isoformat(), self.header(kind) or {}
         info = header | {"version": VERSION, "snapshot": name, "created_at": old.get("created_at", now), "updated_at": now}
         part = self._path(f"{self.folder}/{name}.json.part")

@@ -69,6 +69,35 @@ def test_workflow(spark, tree):
     assert p.sync("resync")["changes"].count() == 0
 
 
+def test_status_guards_and_html(spark, tree):
+    p = Project(spark, str(tree))
+    with pytest.raises(ValueError, match="no snapshot"):
+        p.status()
+    p.init()
+    (tree / "src/core.py").write_text("X = 1\n")
+    row = p.status().first()
+    assert (row.changes, row.change_percentage, row.level, row.days_old, row.current_version, row.generated_by) == (1, round(100 / 6, 1), "fresh", 0, True, "gleaner")
+    sections = {r.section for r in p.state.read("dependency_map").collect()}
+    assert {"doc_to_code", "code_to_doc", "unmatched", "asset", "reference:file_path"} <= sections
+    (tree / "docs/html.md").write_text('# H\n\n<a href="lost.md">x</a> `<a href="code.md">`\n\n```\n<img src="no.png">\n```\n<img src="pic.png">\n<p><a href="guide.md">ok</a></p>\n')
+    found = {(r.type, r.line, r.message) for r in p.validate(("links", "assets")).collect() if r.file == "docs/html.md"}
+    assert {(t, n) for t, n, _ in found} == {("broken_link", 3), ("missing_asset", 8), ("missing_alt_text", 8)}
+    for bad in ("..", "docs", str(tree / "none"), f"{tree}/../x"):
+        with pytest.raises(ValueError):
+            Project(spark, bad)
+    with pytest.raises(ValueError):
+        Project(spark, str(tree), {"exclude": ["../x"]})
+
+
+def test_links_out_of_the_root_are_not_read(spark, tree, tmp_path_factory):
+    other = tmp_path_factory.mktemp("other") / "secret.md"
+    other.write_text("# secret\n")
+    (tree / "docs/out.md").symlink_to(other)
+    (tree / "docs/in.md").symlink_to(tree / "docs/guide.md")
+    got = {r.path for r in files.scan(spark, str(tree)).collect()}
+    assert "docs/in.md" in got and "docs/out.md" not in got
+
+
 def test_scan_limits(spark, tree):
     with pytest.raises(ValueError):
         files.scan(spark, str(tree), max_files=2)
