@@ -291,9 +291,73 @@ def config_fields(found: DataFrame) -> DataFrame:
     return rows.select("file", "parent_symbol", "f.*", "ord")
 
 
+#: How languages without a parser here write comments and strings: (line comments, block comments, strings of one line, strings of several).
+_C = ("//", ("/*", "*/"), "\"'", "")
+LEXIS = {
+    **dict.fromkeys(("javascript", "js", "jsx", "typescript", "ts", "tsx"), ("//", ("/*", "*/"), "\"'", "`")),
+    **dict.fromkeys(("go", "golang"), ("//", ("/*", "*/"), "\"'", "`")),
+    **dict.fromkeys(("java", "c", "cpp", "c++", "csharp", "cs", "kotlin", "swift"), _C),
+    **dict.fromkeys(("rust", "rs"), ("//", ("/*", "*/"), "", '"')),
+    **dict.fromkeys(("bash", "sh", "shell"), ("#", None, "", "\"'")),
+}
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+
+
+def unbalanced(language: str, code: str) -> str | None:
+    """Why brackets and strings of a snippet don't close, or null: what can be told of a language by its comments and strings alone."""
+    line, block, short, long = LEXIS[language]
+    shell, rust = line == "#", language in ("rust", "rs")
+    open_: list[tuple[str, int]] = []
+    at, row, n = 0, 1, len(code)
+    while at < n:
+        c = code[at]
+        if c == "\n":
+            row += 1
+        elif c == "\\":
+            at += 1
+        elif code.startswith(line, at) and (not shell or at == 0 or code[at - 1] in " \t\n;"):
+            at = code.find("\n", at)
+            if at < 0:
+                break
+            continue
+        elif block and code.startswith(block[0], at):
+            end = code.find(block[1], at + 2)
+            if end < 0:
+                return f"line {row}: comment is not closed"
+            row += code.count("\n", at, end)
+            at = end + 1
+        elif rust and c == "'":
+            # A character, or the name of a lifetime.
+            found = re.match(r"'(?:\\.[^']*|[^'\\\n])'", code[at:])
+            at += found.end() - 1 if found else 0
+        elif c in short or c in long:
+            begin = row
+            at += 1
+            while at < n and code[at] != c:
+                if code[at] == "\n":
+                    row += 1
+                    if c in short:
+                        return f"line {begin}: string is not closed"
+                at += 2 if code[at] == "\\" and not (shell and c == "'") and not (language in ("go", "golang") and c == "`") else 1
+            if at >= n:
+                return f"line {begin}: string is not closed"
+        elif c in "([{":
+            open_.append((c, row))
+        elif c in _PAIRS and not (shell and c == ")" and (not open_ or open_[-1][0] != "(")):
+            # The patterns of a shell's case end with a bracket of their own.
+            if not open_ or open_.pop()[0] != _PAIRS[c]:
+                return f"line {row}: {c!r} without its opening"
+        at += 1
+    return f"line {open_[-1][1]}: {open_[-1][0]!r} is not closed" if open_ else None
+
+
 def check_snippet(language: str | None, code: str) -> str | None:
-    """Why a snippet isn't valid in its language, or null; languages without a parser here count as valid."""
+    """Why a snippet isn't valid in its language, or null. Python, JSON, YAML and TOML are parsed; of the languages of ``LEXIS`` brackets,
+    strings and comments have to close; others count as valid."""
     name = (language or "").lower()
+    if name in LEXIS:
+        why = unbalanced(name, code)
+        return f"SyntaxError: {why}" if why else None
     try:
         if name in ("python", "py", "python3"):
             ast.parse(code)

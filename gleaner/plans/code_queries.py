@@ -367,12 +367,12 @@ def p9_config_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p11_snippet_issues",
-    """SELECT 'syntax_error' AS type, CASE WHEN p_partkey % 3 = 0 THEN 'error' ELSE 'warning' END AS severity, 'd' || p_partkey AS file, CAST(p_size AS INTEGER) AS line FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 2 = 0""",
+    """SELECT 'syntax_error' AS type, CASE WHEN p_partkey % 3 = 0 THEN 'error' ELSE 'warning' END AS severity, 'd' || p_partkey AS file, CAST(p_size AS INTEGER) AS line FROM part WHERE p_partkey % 2 = 0""",
 )
 def p11_snippet_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "part").selectExpr(
         "'d' || p_partkey AS doc", "p_size AS line", "CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'json' ELSE 'go' END AS language",
-        "CASE WHEN p_partkey % 2 = 1 THEN CASE p_partkey % 3 WHEN 0 THEN 'x = ' || p_size ELSE '{\"a\": ' || p_size || '}' END ELSE 'def (' END AS text",
+        "CASE WHEN p_partkey % 2 = 1 THEN CASE p_partkey % 3 WHEN 0 THEN 'x = ' || p_size WHEN 1 THEN '{\"a\": ' || p_size || '}' ELSE 'func f(n int) { return `(` }' END ELSE 'def (' END AS text",
     )
     return symbols.snippet_issues(blocks, "Python").select("type", "severity", "file", "line")
 

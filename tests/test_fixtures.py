@@ -309,3 +309,19 @@ def test_guards(spark, tmp_path):
     assert guards.shown(df, "undocumented", "doc").count() == 50 and "generated_by" in guards.stamped(df, "x").columns
     with guards.time_limit(spark, 30):
         assert df.count() == 60
+
+
+def test_snippets_without_a_parser():
+    from gleaner.functions.symbols import check_snippet
+
+    good = {
+        "go": ['func f() { x := `(`; s := "\\"(" } // )', "a[1:2] /* ( */"],
+        "js": ["const f = (x) => `${x} ( \n`;", "let s = 'it\\'s';"],
+        "typescript": ["type A = { b: Array<string> };"],
+        "rust": ["fn f<'a>(x: &'a str) -> char { '(' }", 'let s = "a\nb";'],
+        "bash": ["echo \"a ( b\" # (", "case $x in\n  a) echo 1;;\nesac", "echo it\\'s", "for i in $(ls); do echo ${i}; done"],
+        "cobol": ["((("],
+    }
+    bad = {"go": ["func f( {", "}"], "js": ["let s = 'a", "f(1]", "/* open"], "rust": ["fn f() { vec![1 }"], "bash": ["echo \"a", "x=$(ls"], "tsx": ["`a"]}
+    assert [(k, x) for k, v in good.items() for x in v if check_snippet(k, x)] == []
+    assert [(k, x) for k, v in bad.items() for x in v if not check_snippet(k, x)] == []
