@@ -89,6 +89,7 @@ class Project:
                 to.parent.mkdir(parents=True, exist_ok=True)
                 if not to.exists():
                     to.write_text(text, encoding="utf-8")
+        project.save_default_config(f"{self.root}/.gleaner.yml", self.settings | {"docs_path": self.docs_root})
         project.save_default_conventions(f"{self.root}/{STATE}/conventions.yml")
         return self.update_baseline()
 

@@ -149,6 +149,24 @@ def save_yaml(path: str, values: dict, comment: str = "") -> None:
     Path(path).write_text(head + yaml.safe_dump(values, sort_keys=False, allow_unicode=True), encoding="utf-8")
 
 
+#: K4: what a project's configuration says where it says nothing else, and what its keys are for.
+DEFAULT_CONFIG = {"docs_path": "docs", "include_root_readme": False, "exclude": [], "sources": [], "doc_mappings": {}}
+CONFIG_GUIDE = """Configuration of the documentation tools
+docs_path: the folder of the documents
+include_root_readme: whether the readme at the root is one of them
+exclude: globs of files to leave out, besides the default ones
+sources: globs of source files (none: by their endings)
+doc_mappings: the document of a category of files that no document refers to (cli, api, config, infrastructure, other)"""
+
+
+def save_default_config(path: str, values: dict | None = None) -> bool:
+    """K4: writes a project's configuration, the defaults but for ``values``, with its guide, unless there is one; whether it did."""
+    if Path(path).exists():
+        return False
+    save_yaml(path, DEFAULT_CONFIG | {k: v for k, v in (values or {}).items() if k in DEFAULT_CONFIG}, CONFIG_GUIDE)
+    return True
+
+
 #: K5: the conventions that a project starts with.
 DEFAULT_CONVENTIONS = {
     "style": {"headings": {"case": "sentence_case", "max_depth": 4, "hierarchy": True}, "code": {"language_tag": True}, "images": {"alt_text": True}},

@@ -77,6 +77,9 @@ def test_status_guards_and_html(spark, tree):
     (tree / "src/core.py").write_text("X = 1\n")
     row = p.status().first()
     assert (row.changes, row.change_percentage, row.level, row.days_old, row.current_version, row.generated_by) == (1, round(100 / 6, 1), "fresh", 0, True, "gleaner")
+    kept = files.load_yaml(str(tree / ".gleaner.yml"))
+    assert kept == files.DEFAULT_CONFIG and "# exclude: globs" in (tree / ".gleaner.yml").read_text() and Project(spark, str(tree)).settings == kept
+    assert files.save_default_config(str(tree / ".gleaner.yml"), {"docs_path": "other"}) is False
     sections = {r.section for r in p.state.read("dependency_map").collect()}
     assert {"doc_to_code", "code_to_doc", "unmatched", "asset", "reference:file_path"} <= sections
     (tree / "docs/html.md").write_text('# H\n\n<a href="lost.md">x</a> `<a href="code.md">`\n\n```\n<img src="no.png">\n```\n<img src="pic.png">\n<p><a href="guide.md">ok</a></p>\n')
