@@ -291,8 +291,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that are kept of their near-duplicate group, all columns unchanged. Rows that repeat a kept row's doc_id and
-    text stay, as do those without a doc_id."""
-    kept = _grouped(spark, docs, k, num, den).where("kept and doc_id is not null").select("doc_id", "h").distinct()
+    text stay; so do rows without a doc_id, unless their group has a row with one."""
+    kept = _grouped(spark, docs, k, num, den).where("kept").select("doc_id", "h").distinct()
     text_hash: Column = F.xxhash64(docs["text"])
-    same = (docs["doc_id"] == kept["doc_id"]) & (text_hash == kept["h"])
-    return docs.join(kept, same, "left_semi").unionByName(docs.where("doc_id is null"))
+    named, bare = kept.where("doc_id is not null"), kept.where("doc_id is null").select("h")
+    same = (docs["doc_id"] == named["doc_id"]) & (text_hash == named["h"])
+    return docs.join(named, same, "left_semi").unionByName(docs.where("doc_id is null").join(bare, text_hash == bare["h"], "left_semi"))
