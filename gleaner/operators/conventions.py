@@ -47,15 +47,17 @@ def violations(elements: DataFrame, rules: Conventions) -> DataFrame:
 # The files that tell of a documentation platform.
 _OF = {
     "hugo": (("hugo.toml", "hugo.yaml", "config.toml"), (("go.mod", "hugo"),)),
-    "docusaurus": (("docusaurus.config.js", "docusaurus.config.ts"), (("package.json", "docusaurus"),)),
+    "docusaurus": (("docusaurus.config.js", "docusaurus.config.ts"), (("package.json", "docusaurus"), ("package.json", "@docusaurus/core"))),
     "mkdocs": (("mkdocs.yml",), (("requirements.txt", "mkdocs"),)),
-    "sphinx": (("conf.py",), (("requirements.txt", "sphinx"), ("setup.py", "sphinx"))),
+    "sphinx": (("conf.py",), (("requirements.txt", "sphinx"), ("setup.py", "sphinx"), ("setup.py", "setuptools"))),
     "vitepress": ((".vitepress/config.js", ".vitepress/config.ts"), (("package.json", "vitepress"),)),
     "jekyll": (("_config.yml",), ()),
 }
 DOC_FOLDERS = ("docsite", "docs", "documentation", "website", "site")
 SPHINX_ROOTS = ("docs/conf.py", "doc/conf.py")
 RECOMMENDED = {"Go": "hugo", "JavaScript/TypeScript": "docusaurus", "Node.js": "docusaurus", "Python": "mkdocs"}
+#: How sure a configuration, a manifest and a setup script make.
+CONFIDENCE = ("high", "medium", "low")
 #: Marker files of languages, in order.
 LANGUAGES = (
     ("go.mod", "Go"), ("package.json", "JavaScript/TypeScript"), ("Cargo.toml", "Rust"), ("pyproject.toml", "Python"), ("Pipfile", "Python"), ("requirements.txt", "Python"),
@@ -66,18 +68,23 @@ LANGUAGES = (
 
 def detect_platforms(files: DataFrame) -> DataFrame:
     """(platform, confidence, evidence) of a project's ``files`` (path, text): root configurations (high), else
-    those in documentation folders (high), else manifests that name the platform (medium)."""
+    those in documentation folders (high), else manifests: a dependency's name in package.json (medium), the platform's name in
+    the text of others (medium, low in setup.py). Of a platform's manifests those of the highest confidence are its evidence."""
     spark = files.sparkSession
     root = [(p, f) for p, (configs, _) in _OF.items() for f in (SPHINX_ROOTS if p == "sphinx" else configs)]
     sub = [(p, f"{d}/{f}") for p, (configs, _) in _OF.items() for d in DOC_FOLDERS for f in configs]
     deps = [(p, f, word) for p, (_, manifests) in _OF.items() for f, word in manifests]
-    one = files.join(F.broadcast(spark.createDataFrame(root, "platform string, path string")), "path").select("platform", "path", F.lit(1).alias("stage"))
-    two = files.join(F.broadcast(spark.createDataFrame(sub, "platform string, path string")), "path").select("platform", "path", F.lit(2).alias("stage"))
+    one = files.join(F.broadcast(spark.createDataFrame(root, "platform string, path string")), "path").select("platform", "path", F.lit(1).alias("stage"), F.lit(0).alias("rank"))
+    two = files.join(F.broadcast(spark.createDataFrame(sub, "platform string, path string")), "path").select("platform", "path", F.lit(2).alias("stage"), F.lit(0).alias("rank"))
     three = files.join(F.broadcast(spark.createDataFrame(deps, "platform string, path string, word string")), "path")
-    three = three.where(F.contains(F.lower("text"), F.col("word"))).select("platform", "path", F.lit(3).alias("stage"))
+    named = F.from_json("text", "dependencies map<string,string>, devDependencies map<string,string>")
+    keys = F.concat(*(F.coalesce(F.map_keys(named[k]), F.array().cast("array<string>")) for k in ("dependencies", "devDependencies")))
+    said = F.when(F.col("path") == "package.json", F.array_contains(keys, F.col("word"))).otherwise(F.contains(F.lower("text"), F.col("word")))
+    three = three.where(said).select("platform", "path", F.lit(3).alias("stage"), F.when(F.col("path") == "setup.py", 2).otherwise(1).alias("rank"))
     hits = one.unionByName(two).unionByName(three)
     first = hits.withColumn("first", hits.agg(F.min("stage")).scalar()).where("stage = first")
-    return first.groupBy("platform").agg(F.when(F.min("stage") < 3, "high").otherwise("medium").alias("confidence"), F.array_sort(F.collect_set("path")).alias("evidence"))
+    best = first.groupBy("platform", "rank").agg(F.array_sort(F.collect_set("path")).alias("evidence")).groupBy("platform").agg(F.min(F.struct("rank", "evidence")).alias("b"))
+    return best.select("platform", F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("b.rank") + 1).alias("confidence"), "b.evidence")
 
 
 def project_facts(files: DataFrame) -> DataFrame:

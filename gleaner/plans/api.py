@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -81,9 +83,12 @@ class Project:
         if mode == "bootstrap":
             if platform not in PLATFORM_FILES:
                 raise ValueError(f"no templates for {platform!r}")
-            name = git.project_name(self.root)
-            made = {f"{self.docs_root}/{k}": v for k, v in TEMPLATES.items()}
-            made |= {k: v.replace("{name}", name).replace("{docs}", self.docs_root) for k, v in PLATFORM_FILES[platform].items()}
+            name, language = git.project_name(self.root), conventions.project_facts(self.files()).first()["language"]
+            install, use = COMMANDS.get(language, COMMANDS["Unknown"])
+            fill = {"{name}": name, "{docs}": self.docs_root, "{install}": install.replace("{name}", name), "{use}": use.replace("{name}", name), "{build}": BUILDS[platform]}
+            made = {f"{self.docs_root}/{k}": v for k, v in TEMPLATES.items()} | {"README.md": README} | PLATFORM_FILES[platform]
+            for word, said in fill.items():
+                made = {k: v.replace(word, said) for k, v in made.items()}
             for path, text in made.items():
                 to = project.Path(self.root, path)
                 to.parent.mkdir(parents=True, exist_ok=True)
@@ -94,7 +99,12 @@ class Project:
         return self.update_baseline()
 
     def update_baseline(self) -> dict:
-        """Snapshots of files, symbols and dependencies."""
+        """Snapshots of files, symbols and dependencies; given up after the seconds of the setting ``timeout``, if there is one."""
+        limit = self.settings.get("timeout")
+        with guards.time_limit(self.spark, float(limit)) if limit else nullcontext():
+            return self._written()
+
+    def _written(self) -> dict:
         files = self.files().select("path", "sha256")
         refs, matched, rest = self.dependencies()
         images = markdown.elements(self.docs()).where("kind = 'image'").select("doc", F.col("url").alias("src"))
@@ -116,6 +126,13 @@ class Project:
         aged = changes.staleness(share.withColumn("ts", F.lit(info.get("updated_at"))), now).drop("ts")
         return guards.stamped(aged.withColumn("current_version", F.lit(newer(str(info.get("version"))) >= 0)), "gleaner")
 
+    def health(self) -> DataFrame:
+        """One row (files, days, drift): what git says was touched since the snapshot, and whether the documents may lag behind."""
+        info = self.state.header("files")
+        if info is None:
+            raise ValueError("no snapshot yet: call init() or update_baseline()")
+        return git.session_health(self.spark, self.root, info["updated_at"])
+
     def detect_changes(self, since: str | None = None) -> DataFrame:
         """(file, category, change_type) since the snapshot, or since a commit; nothing is written."""
         if since is not None:
@@ -150,8 +167,9 @@ class Project:
     def detect_platform(self) -> DataFrame:
         return conventions.detect_platforms(self.files())
 
-    def validate(self, checks: tuple[str, ...] = CHECKS, incremental: bool = False, rules: conventions.Conventions | None = None) -> DataFrame:
-        """The issues of the documents by the checks asked for; ``incremental``: only documents that changed since the snapshot."""
+    def validate(self, checks: tuple[str, ...] = CHECKS, incremental: bool = False, rules: conventions.Conventions | None = None, prober: Callable[[str], int | None] = git.http_status) -> DataFrame:
+        """The issues of the documents by the checks asked for; ``incremental``: only documents that changed since the snapshot. Assets
+        on the web are asked for, by ``prober``, in the check external_assets only, which has to be named."""
         docs = self.docs()
         if incremental and (base := self.state.read("files")) is not None:
             fresh = changes.changed_since(self.files().select("path", "sha256"), base).select(F.col("path").alias("doc"))
@@ -164,10 +182,13 @@ class Project:
             keys = links.link_keys(every)
             said = kind("link").select("doc", "ord", "url", "line").unionByName(_html_elements(docs).where("kind = 'link'").select("doc", "ord", "url", "line"))
             found.append(links.broken_links(links.resolve_links(said, keys)))
-        if "assets" in checks:
+        if "assets" in checks or "external_assets" in checks:
             image = ("doc", "ord", "url AS src", "text AS alt", "line")
             shown = kind("image").selectExpr(*image).unionByName(_html_elements(docs).where("kind = 'image'").selectExpr(*image))
+        if "assets" in checks:
             found.append(links.asset_issues(shown, self.files()))
+        if "external_assets" in checks:
+            found.append(git.probe_assets(shown.where("src rlike '(?i)^https?://'").select("doc", "src").distinct(), prober))
         if "snippets" in checks or "code_syntax" in checks:
             primary = conventions.project_facts(self.files()).first()["language"]
             found.append(symbols.snippet_issues(kind("code_block"), primary))
@@ -205,25 +226,40 @@ class Project:
         scores = quality.criterion_scores(m.withColumn("coverage", share.scalar())).where(F.col("criterion").isin(*criteria))
         return scores, quality.overall_score(scores, share.first()["percentage"] if open_.limit(1).count() else None)
 
-    def migrate(self, moves: DataFrame, dry_run: bool = True, toc_depth: int | None = None) -> DataFrame:
-        """The documents after ``moves`` (old, new); written below the root unless it is a dry run."""
-        got = transforms.migrate(self.docs(), moves, toc_depth)
-        if not dry_run:
-            # Kept first: what is written below changes what the plan would read again.
-            self.state.write("migration", got)
-            got = self.state.read("migration")
-            root = self.root
-
-            def write(rows) -> None:
-                from pathlib import Path
-
-                for r in rows:
-                    to = Path(root, r["new_doc"])
-                    to.parent.mkdir(parents=True, exist_ok=True)
-                    to.write_text(r["text"], encoding="utf-8")
-
-            got.where("changed").foreachPartition(write)
-        return got
+    def migrate(self, moves: DataFrame, dry_run: bool = True, toc_depth: int | None = None, preserve_history: bool = False) -> DataFrame:
+        """The documents after ``moves`` (old, new), and the other files that move (their text is null): (doc, new_doc, text, changed,
+        method). Written below the root unless it is a dry run; a file is copied, or moved by git with ``preserve_history`` (copied
+        where git refuses). method: preview, copy, git mv, or rewrite for a document that stays in its place."""
+        # A document that is no UTF-8 moves as it is.
+        docs = transforms.migrate(self.docs().where("text is not null"), moves, toc_depth)
+        others = self.files().join(moves.withColumnRenamed("old", "path"), "path").join(docs.select(F.col("doc").alias("path")), "path", "left_anti")
+        got = docs.unionByName(others.select(F.col("path").alias("doc"), F.col("new").alias("new_doc"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("changed")))
+        if dry_run:
+            return got.withColumn("method", F.lit("preview"))
+        # Kept first: what is written below changes what the plan would read again.
+        self.state.write("migration", got)
+        got = self.state.read("migration")
+        # As many names as a project has files (``scan`` bounds them).
+        rows = got.where("doc != new_doc").selectExpr("doc", "new_doc", "text is null AS bare").orderBy("doc").collect()
+        moved, olds = [(r.doc, r.new_doc) for r in rows], {r.doc for r in rows}
+        for r in rows:
+            if not project.within(self.root, r.new_doc):
+                raise ValueError(f"out of the project: {r.new_doc!r}")
+            if r.bare and r.new_doc in olds:
+                raise ValueError(f"in the place of a file that moves itself: {r.new_doc!r}")
+        how = self.spark.createDataFrame([(old, project.move_file(self.root, old, new, git.move if preserve_history else None)) for old, new in moved], "doc string, method string")
+        root = self.root
+
+        def write(rows) -> None:
+            from pathlib import Path
+
+            for r in rows:
+                Path(root, r["new_doc"]).write_text(r["text"], encoding="utf-8")
+
+        got.where("changed and text is not null").foreachPartition(write)
+        if preserve_history:
+            git.stage(self.root, [new for _, new in moved])
+        return got.join(how, "doc", "left").withColumn("method", F.coalesce("method", F.lit("rewrite")))
 
     def sync(self, mode: str = "check") -> dict[str, DataFrame]:
         """Changes, affected documents, issues and scores; ``resync`` renews the snapshots first, so that no change is left."""
@@ -243,16 +279,137 @@ def _html_elements(docs: DataFrame) -> DataFrame:
     return rows.select("doc", (1_000_000 + F.col("pos") * 1_000 + F.col("n")).cast("int").alias("ord"), "e.kind", "e.url", "e.text", (F.col("pos") + 1).cast("int").alias("line"))
 
 
-#: The first documents of a project that has none (K6).
+#: The first documents of a project that has none (K6). {name}, {docs}, {install}, {use} and {build} are filled in.
+README = """# {name}
+
+Say in two sentences what {name} does and for whom.
+
+## Install
+
+```bash
+{install}
+```
+
+## Documentation
+
+Start with the [guide]({docs}/guides/getting-started.md); settings are listed in the [configuration reference]({docs}/reference/configuration.md).
+"""
 TEMPLATES = {
-    "index.md": "# Documentation\n\nStart with the [guide](guides/getting-started.md), or look things up in the [reference](reference/api.md).\n",
-    "guides/getting-started.md": "# Getting started\n\n## Installation\n\n## First steps\n",
-    "reference/api.md": "# API reference\n",
-    "reference/configuration.md": "# Configuration\n",
+    "index.md": """# {name}
+
+Say here what {name} is for, and what it isn't for.
+
+## Find your way
+
+- New here: [install it](guides/installation.md), then [get started](guides/getting-started.md)
+- Everyday work: [usage](guides/usage.md)
+- Looking something up: [API](reference/api.md) and [configuration](reference/configuration.md)
+
+## About these pages
+
+Build them with:
+
+```bash
+{build}
+```
+""",
+    "guides/installation.md": """# Installation
+
+## What you need
+
+List systems, versions and services that have to be there first.
+
+## Install the package
+
+```bash
+{install}
+```
+
+## Check that it works
+
+```bash
+{use}
+```
+
+## When it fails
+
+Describe the errors that people meet most and what helps. Then [get started](getting-started.md).
+""",
+    "guides/getting-started.md": """# Getting started
+
+This page takes a new user to a first result in five minutes. Have it [installed](installation.md) first.
+
+## First steps
+
+```bash
+{use}
+```
+
+Show what is printed, and say what it means.
+
+## Where to go on
+
+- [Usage](usage.md) for the usual tasks
+- [Configuration](../reference/configuration.md) for what can be changed
+""",
+    "guides/usage.md": """# Usage
+
+## Common tasks
+
+Give each task a heading, the command or code that does it, and the result.
+
+```bash
+{use}
+```
+
+## Working with others
+
+Say how it is used in scripts, in builds and by a team.
+
+## Questions
+
+Collect what is asked often. Settings are in the [configuration reference](../reference/configuration.md).
+""",
+    "reference/api.md": """# API reference
+
+Every public function, class and command with its arguments, result and an example.
+
+## Commands
+
+## Functions and classes
+""",
+    "reference/configuration.md": """# Configuration
+
+## Where settings come from
+
+Name files, environment variables and options, in the order in which they win.
+
+## Settings
+
+| Name | Type | Default | Meaning |
+|---|---|---|---|
+
+## Example
+
+```yaml
+name: value
+```
+""",
+}
+#: How projects of a language are installed and tried.
+COMMANDS = {
+    "Python": ("pip install {name}", "python -m {name} --help"),
+    "JavaScript/TypeScript": ("npm install {name}", "npx {name} --help"),
+    "Go": ("go install ./...", "{name} --help"),
+    "Rust": ("cargo install {name}", "{name} --help"),
+    "Ruby": ("gem install {name}", "{name} --help"),
+    "Unknown": ("# the commands that install {name}", "{name} --help"),
 }
+#: How a platform's pages are built.
+BUILDS = {"mkdocs": "mkdocs serve", "hugo": "hugo server", "docusaurus": "npx docusaurus start"}
 #: What a platform needs to build them.
 PLATFORM_FILES = {
-    "mkdocs": {"mkdocs.yml": "site_name: {name}\ndocs_dir: {docs}\nnav:\n  - Home: index.md\n  - Guide: guides/getting-started.md\n  - API: reference/api.md\n  - Configuration: reference/configuration.md\n"},
+    "mkdocs": {"mkdocs.yml": "site_name: {name}\ndocs_dir: {docs}\nnav:\n  - Home: index.md\n  - Installation: guides/installation.md\n  - Getting started: guides/getting-started.md\n  - Usage: guides/usage.md\n  - API: reference/api.md\n  - Configuration: reference/configuration.md\n"},
     "hugo": {"hugo.yaml": "title: {name}\ncontentDir: {docs}\nmarkup:\n  goldmark:\n    renderer:\n      unsafe: false\n"},
     "docusaurus": {"docusaurus.config.js": "module.exports = {\n  title: '{name}',\n  url: 'https://example.com',\n  baseUrl: '/',\n  presets: [['classic', {docs: {path: '{docs}', routeBasePath: '/'}}]],\n};\n"},
 }

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import subprocess
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +50,17 @@ def parse_name_status(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def move(project: str, old: str, new: str) -> bool:
+    """K7: moves a file so that its history goes along; whether git did."""
+    return run_git(project, "mv", "--", old, new) is not None
+
+
+def stage(project: str, files: list[str]) -> None:
+    """K7: adds to git what was written to files."""
+    for at in range(0, len(files), 500):
+        run_git(project, "add", "--", *files[at : at + 500])
+
+
 def head(project: str) -> dict[str, str | None]:
     """Commit and branch of a project; None where git can't tell."""
     one = lambda *a: (run_git(project, *a) or "").strip() or None
@@ -68,9 +82,34 @@ def doc_health(lists: list[DataFrame], days_since: int, most_files: int = 10, mo
     return union.agg(n.alias("files"), F.lit(days_since).alias("days"), ((n >= most_files) | (F.lit(days_since) >= most_days)).alias("drift"))
 
 
-def probe_assets(urls: DataFrame, prober: Callable[[str], int | None]) -> DataFrame:
-    """Issues of ``urls`` (doc, src) by ``prober``, which gives the status of a URL or None if it can't be reached. Each
-    URL is probed once, on the executors; nothing is probed unless a caller brings a prober."""
+def session_health(spark: SparkSession, project: str, since: str) -> DataFrame:
+    """``doc_health`` of the files in commits since a moment (ISO 8601), of staged and of unstaged ones; no files where there is
+    no git."""
+    moment = datetime.fromisoformat(since)
+    asked = (("log", f"--since={moment.isoformat(timespec='seconds')}", "--name-only", "--pretty=format:"), ("diff", "--cached", "--name-only"), ("diff", "--name-only"))
+    lists = [[(line.strip(),) for line in (run_git(project, *a) or "").splitlines() if line.strip()] for a in asked]
+    days = (datetime.now(timezone.utc) - moment.astimezone(timezone.utc)).days
+    return doc_health([spark.createDataFrame(x, "file string") for x in lists], days)
+
+
+def http_status(url: str, timeout: float = 5.0) -> int | None:
+    """The status of a HEAD request, None if the host can't be reached, -1 if the request fails otherwise or isn't one of the web."""
+    if not re.match(r"https?://", url, re.I):
+        return -1
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=timeout) as got:
+            return got.status
+    except urllib.error.HTTPError as e:
+        return e.code
+    except urllib.error.URLError:
+        return None
+    except Exception:  # A broken answer or URL is a finding about that URL, not an error of the report.
+        return -1
+
+
+def probe_assets(urls: DataFrame, prober: Callable[[str], int | None] = http_status) -> DataFrame:
+    """Issues of ``urls`` (doc, src) by ``prober``, which gives the status of a URL (negative: the request failed) or None if
+    it can't be reached. Each URL is probed once, on the executors; only a report that is asked for it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,8 +117,8 @@ def probe_assets(urls: DataFrame, prober: Callable[[str], int | None]) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.string()), pa.array([prober(u) for u in seen], type=pa.int32())], names=["src", "status"])
 
     status = urls.select("src").distinct().mapInArrow(run, "src string, status int")
-    bad = urls.join(status, "src").where("status is null or status >= 400")
+    bad = urls.join(status, "src").where("status is null or status >= 400 or status < 0")
     return bad.select(
         F.when(F.col("status").isNull(), "external_asset_unreachable").otherwise("external_asset_error").alias("type"), F.lit("warning").alias("severity"), F.col("doc").alias("file"), F.lit(1).alias("line"),
-        F.concat(F.lit("External asset: "), "src", F.coalesce(F.concat(F.lit(" (status "), "status", F.lit(")")), F.lit(""))).alias("message"),
+        F.concat(F.lit("External asset: "), "src", F.when(F.col("status") > 0, F.concat(F.lit(" (status "), "status", F.lit(")"))).otherwise("")).alias("message"),
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+import shutil
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -142,6 +143,16 @@ def load_yaml(path: str) -> dict | None:
     return got | {k: [] for k in ("exclude", "sources", "include") if k in got and got[k] is None}
 
 
+def move_file(root: str, old: str, new: str, mover: Callable[[str, str, str], bool] | None = None) -> str:
+    """K7: brings a file to its new place below ``root``: by ``mover`` (root, old, new) if it can, else as a copy; what was done."""
+    to = Path(root, new)
+    to.parent.mkdir(parents=True, exist_ok=True)
+    if mover is not None and mover(root, old, new):
+        return "git mv"
+    shutil.copy2(Path(root, old), to)
+    return "copy"
+
+
 def save_yaml(path: str, values: dict, comment: str = "") -> None:
     """K4: a configuration file with a comment at its top."""
     head = "".join(f"# {line}\n" for line in comment.splitlines())

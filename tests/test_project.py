@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import http.server
 import subprocess
+import threading
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from gleaner.operators import conventions
 from gleaner.plans import registry
 from gleaner.plans.api import Project
+from gleaner.sources import git
 from gleaner.sources import project as files
 from gleaner.streaming.changes import change_rate, stream_changes
 
@@ -122,6 +126,88 @@ def test_bootstrap(spark, tmp_path):
     assert files.save_default_conventions(str(tmp_path / ".gleaner/conventions.yml")) is False
 
 
+def test_bootstrap_speaks_of_the_project(spark, tmp_path):
+    root = tmp_path / "thing"
+    root.mkdir()
+    (root / "pyproject.toml").write_text("")
+    Project(spark, str(root)).init("bootstrap", "hugo")
+    made = {str(f.relative_to(root)): f.read_text() for f in root.rglob("*.md")}
+    assert len(made) == 7 and "pip install thing" in made["README.md"] and "hugo server" in made["docs/index.md"]
+    assert not any(w in t for t in made.values() for w in ("{name}", "{docs}", "{install}", "{use}", "{build}"))
+
+
+def _git(tree, *args):
+    return subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *args], cwd=tree, check=True, capture_output=True, text=True).stdout
+
+
+def test_moves_keep_history(spark, tree):
+    (tree / "docs/pic.png").write_bytes(b"\x89PNG\xff")
+    (tree / "docs/latin.md").write_bytes(b"# caf\xe9\n")
+    _git(tree, "add", "-A")
+    _git(tree, "commit", "-m", "before")
+    (tree / "docs/new.bin").write_bytes(b"\xff")
+    p = Project(spark, str(tree))
+    moves = [("docs/guide.md", "docs/manual/guide.md"), ("docs/pic.png", "docs/manual/pic.png"), ("docs/latin.md", "docs/manual/latin.md"), ("docs/new.bin", "docs/manual/new.bin")]
+    table = spark.createDataFrame(moves, "old string, new string")
+    assert {r.method for r in p.migrate(table).collect()} == {"preview"} and not (tree / "docs/manual").exists()
+    for bad in (("docs/pic.png", "../pic.png"), ("docs/pic.png", "docs/new.bin")):
+        with pytest.raises(ValueError):
+            p.migrate(spark.createDataFrame([bad, ("docs/new.bin", "docs/x.bin")], "old string, new string"), dry_run=False)
+    how = {r.doc: r.method for r in p.migrate(table, dry_run=False, preserve_history=True).collect()}
+    assert how == {"docs/guide.md": "git mv", "docs/pic.png": "git mv", "docs/latin.md": "git mv", "docs/new.bin": "copy", "docs/index.md": "rewrite", **({"README.md": "rewrite"} if "README.md" in how else {})}
+    assert not (tree / "docs/guide.md").exists() and (tree / "docs/new.bin").exists() and (tree / "docs/manual/latin.md").read_bytes() == b"# caf\xe9\n"
+    assert "R" in {line[0] for line in _git(tree, "diff", "--cached", "-M", "--name-status").splitlines()}
+    _git(tree, "commit", "-m", "moved")
+    assert "before" in _git(tree, "log", "--follow", "--format=%s", "docs/manual/pic.png")
+
+
+def test_health_and_web_assets(spark, tree):
+    p = Project(spark, str(tree))
+    with pytest.raises(ValueError, match="no snapshot"):
+        p.health()
+    p.init()
+    (tree / "src/core.py").write_text("X = 1\n")
+    row = p.health().first()
+    assert row.files >= 1 and (row.days, row.drift) == (0, row.files >= 10)
+    (tree / "docs/web.md").write_text("![a](http://a/x.png)\n\n![b](https://b/y.png)\n\n![c](http://c/z.png)\n")
+    status = {"http://a/x.png": 404, "http://c/z.png": 200}
+    got = {(r.type, r.file, r.message) for r in p.validate(("external_assets",), prober=status.get).collect()}
+    assert got == {("external_asset_error", "docs/web.md", "External asset: http://a/x.png (status 404)"), ("external_asset_unreachable", "docs/web.md", "External asset: https://b/y.png")}
+    assert p.validate(("assets",)).where("type like 'external%'").count() == 0
+
+
+def test_http_status():
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.send_response(404 if self.path == "/no" else 200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert [git.http_status(u) for u in (f"{at}/yes", f"{at}/no", "file:///etc/hosts", "http://[", "http://127.0.0.1:1/x")] == [200, 404, -1, -1, None]
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@pytest.mark.parametrize(("rows", "want"), [
+    ([("package.json", '{"description": "no vitepress", "devDependencies": {"@docusaurus/core": "3"}}')], [("docusaurus", "medium", ["package.json"])]),
+    ([("package.json", '{"description": "vitepress"}')], []),
+    ([("package.json", "vitepress, no JSON"), ("setup.py", None)], []),
+    ([("setup.py", "from setuptools import setup"), ("requirements.txt", "MkDocs==1")], [("mkdocs", "medium", ["requirements.txt"]), ("sphinx", "low", ["setup.py"])]),
+    ([("setup.py", "sphinx"), ("requirements.txt", "sphinx")], [("sphinx", "medium", ["requirements.txt"])]),
+    ([("mkdocs.yml", ""), ("setup.py", "sphinx")], [("mkdocs", "high", ["mkdocs.yml"])]),
+])
+def test_platforms(spark, rows, want):
+    got = conventions.detect_platforms(spark.createDataFrame(rows, "path string, text string")).orderBy("platform").collect()
+    assert [(r.platform, r.confidence, r.evidence) for r in got] == want
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1", 0), ("b", "2", 10), ("c", "3", 4000)], "path string, sha256 string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     rows.write.parquet(str(tmp_path / "in"))
