@@ -56,9 +56,11 @@ def affected_docs(changed: DataFrame, code_to_doc: DataFrame, mappings: dict[str
 
 def staleness(rows: DataFrame, now: str) -> DataFrame:
     """``rows`` (..., ts string) with days_old and level at the time ``now`` (ISO, UTC): under 7 days fresh, under 30
-    stale, under 90 very_stale, else critical; a missing or malformed time is critical and -1 days old."""
+    stale, under 90 very_stale, else critical; a missing or malformed time is critical and -1 days old. Days are whole ones, to the
+    microsecond."""
     at = F.try_to_timestamp(F.col("ts"))
-    days = F.floor((F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp(at)) / 86_400)
+    age, day = F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros(at), 86_400_000_000
+    days = ((age - F.pmod(age, F.lit(day))) / day).cast("long")
     old = F.coalesce(days, F.lit(-1))
     level = F.when(old < 0, "critical").when(old < 7, "fresh").when(old < 30, "stale").when(old < 90, "very_stale").otherwise("critical")
     level = F.when(days < 0, "fresh").otherwise(level)

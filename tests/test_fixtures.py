@@ -129,6 +129,12 @@ def test_c9_staleness(spark):
     assert got == [("fresh", 3), ("stale", 15), ("very_stale", 45), ("critical", 123), ("critical", -1), ("critical", -1), ("critical", -1), ("stale", 7), ("very_stale", 30), ("critical", 90)]
 
 
+def test_staleness_counts_whole_days_to_the_microsecond(spark):
+    times = ["2024-01-25T00:00:00.5Z", "2024-01-25T00:00:00.000001Z", "2024-01-25T00:00:00Z", "2024-01-24T23:59:59.999999Z", "2024-01-02 00:00:00.25", "2024-02-01T00:00:00.5Z", "1700-01-01T00:00:00.000001Z"]
+    got = [(r.level, r.days_old) for r in changes.staleness(spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, ts string"), "2024-02-01T00:00:00Z").orderBy("i").collect()]
+    assert got == [("fresh", 6), ("fresh", 6), ("stale", 7), ("stale", 7), ("stale", 29), ("fresh", -1), ("critical", 118368)]
+
+
 @pytest.mark.parametrize(("scores", "cover", "want"), [(["good"] * 7, None, "good"), (["good"] * 7, 10.0, "good"), (["fair"] * 7, 10.0, "fair"), (["strange"], None, "fair"), ([], None, "fair"), (["excellent"] * 7, 80.0, "excellent")])
 def test_c10_overall_score(spark, scores, cover, want):
     df = spark.createDataFrame([(str(i), s) for i, s in enumerate(scores)], "criterion string, score string")
