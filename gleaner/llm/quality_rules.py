@@ -16,9 +16,9 @@ from gleaner.llm.common import free_name, let, others, words
 BUCKETS = 1 << 16
 #: Pseudo-count of every bucket in either multinomial.
 SMOOTH = 1.0
-#: Rows of the trusted target that are used at most, the first by hash of their id: 8 bytes each to broadcast. Texts then stay where they
-#: are; dealt out to meet a larger target, they would be shuffled twice, whole.
-TRUSTED_ROWS = 100_000
+#: Packs that the ids of the trusted target are broadcast in, by hash: an id takes its own bytes only (8 for a long), not a row's. Texts
+#: stay where they are; dealt out to meet their ids, they would be shuffled twice, whole.
+PACKS = 1 << 14
 #: A bucket of more n-grams than this in all the corpus counts as it is but for one of the judged text's, however many it has of them.
 OFTEN = 4_096
 #: A text is kept from this mean log-likelihood ratio (nats an n-gram) on.
@@ -86,7 +86,7 @@ def bucket_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     all), and raw and own (array<double>, the log ratio of each bucket without one n-gram of a raw and of a trusted text).
 
     The raw multinomial counts the n-grams of every document; the target those of the documents whose id is in ``trusted``
-    (doc_id), of which at most ``TRUSTED_ROWS`` are used. Without any of these every ratio is 0.
+    (doc_id), all of them. Without any of these every ratio is 0.
     """
     grams = let(words(F.col("text")), lambda x: let(_hashes(x), lambda h: _buckets(h, F.size(h), buckets)))
     counted = (
@@ -109,12 +109,16 @@ def bucket_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     )
 
 
-def _flagged(docs: DataFrame, trusted: DataFrame, name: str, most: int = TRUSTED_ROWS) -> DataFrame:
-    """``docs`` with whether their id is among the first ``most`` of ``trusted``."""
-    ids = trusted.select(F.col("doc_id").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    ids = ids.withColumn("hit", F.lit(True))
-    joined = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"], "left")
-    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), F.coalesce(ids["hit"], F.lit(False)).alias(name))
+def _flagged(docs: DataFrame, trusted: DataFrame, name: str) -> DataFrame:
+    """``docs`` with whether their id is among those of ``trusted``."""
+    # Ids of two types meet in the wider one, as in a join: equal ids then have equal hashes.
+    kind = docs.select("doc_id").union(trusted.select("doc_id")).schema[0].dataType
+    pack = lambda i: F.pmod(F.xxhash64(i), F.lit(PACKS)).cast("int")
+    ids = trusted.select(F.col("doc_id").cast(kind).alias("id")).where("id is not null")
+    packs = ids.groupBy(pack(F.col("id")).alias("pack")).agg(F.collect_set("id").alias("ids"))
+    mine = docs["doc_id"].cast(kind)
+    joined = docs.join(F.broadcast(packs), pack(mine) == packs["pack"], "left")
+    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), F.coalesce(F.array_contains(packs["ids"], mine), F.lit(False)).alias(name))
 
 
 def _ratio(grams: Column, model: Column, target: Column) -> Column:

@@ -128,6 +128,17 @@ def test_quality_ratio_is_the_same_inside_and_outside_the_target(spark):
     assert abs(inside - outside) < 0.02 and all(r.kept for r in got)
 
 
+def test_quality_every_trusted_row_counts(spark):
+    """Every trusted row is in the target and judged as one of it, however many there are, also by an id of another type."""
+    n = 100_300
+    docs = spark.range(n + 40).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    trusted = spark.range(n).select(F.col("id").cast("int").alias("doc_id"))
+    m = quality_rules.bucket_model(docs, trusted).first()
+    assert (sum(m.t), sum(m.r)) == (n, n + 40)
+    flags = quality_rules._flagged(docs, trusted, "target").where("target")
+    assert flags.agg(F.count("*"), F.max("doc_id")).first() == (n, n - 1)
+
+
 # 6: near duplicates
 
 
