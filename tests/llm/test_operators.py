@@ -139,6 +139,15 @@ def test_quality_every_trusted_row_counts(spark):
     assert flags.agg(F.count("*"), F.max("doc_id")).first() == (n, n - 1)
 
 
+def test_quality_own_ngrams_are_taken_off_frequent_buckets_too(spark, monkeypatch):
+    """A text's own n-grams are in no count that it is judged by, however many the corpus has of them."""
+    rows = [(0, "often " * 3_000 + "a b c"), (1, "often " * 1_500 + "d e"), (2, "a b c d e often"), (3, "often " * 200 + "a d"), (4, "b often often c often e d")]
+    docs, ids = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,), (3,)], "doc_id long")
+    got = [round(r.ratio, 9) for r in quality_rules.quality_rules(docs, ids).orderBy("doc_id").collect()]
+    monkeypatch.setattr(quality_rules, "OFTEN", math.inf)
+    assert got == [round(x, 9) for x in ratios(rows, {1, 3})]
+
+
 # 6: near duplicates
 
 
