@@ -148,6 +148,17 @@ def test_quality_own_ngrams_are_taken_off_frequent_buckets_too(spark, monkeypatc
     assert got == [round(x, 9) for x in ratios(rows, {1, 3})]
 
 
+def test_quality_counts_outside_of_lambdas_and_keeps_the_model_out_of_rows(spark):
+    """What a row costs: numbers are sorted and told apart by compiled code, the model stays a constant, a filter computes nothing twice."""
+    docs, ids = spark.createDataFrame([(0, "a b c")], "doc_id long, text string"), spark.createDataFrame([(0,)], "doc_id long")
+    got = quality_rules.quality_rules(docs, ids)
+    for df in (got, got.where("kept"), got.where("kept and ratio > 0").select("doc_id", "ratio")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"sort_array\(transform\(concat\([^\n]* AS quality_grams#", plan)) == 1
+        assert len(re.findall(r"CASE WHEN \(size\(array_distinct\(quality_windows#", plan)) == 1
+        assert "scalar-subquery" in plan and "AS quality_model#" not in plan
+
+
 # 6: near duplicates
 
 
